@@ -5,8 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Links that a task holds while it contracts them.
+HELD = 1 << 19
 
 #: Bytes counted as white space between words: [\x20\x09-\x0D].
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,6 +28,11 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def plus(schema: T.StructType, ddl: str) -> T.StructType:
+    """A schema with more fields."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is named (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -55,38 +66,60 @@ def drop(df: DataFrame) -> None:
         where.getFileSystem(hadoop).delete(where, True)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: str) -> DataFrame:
-    """Smallest node reachable from each node: columns node, component.
-
-    Minimum-label propagation with pointer jumping. Each round is one join on
-    the edges and one partially aggregated minimum, cut to the shared folder;
-    nothing is gathered on the driver but the number of labels that changed.
-    Nodes without an edge take no part in the rounds.
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the components of a-b: each node but the smallest, to the smallest."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        for where in (u, v, label[u], label[v]):
+            np.minimum.at(new, where, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    off = label != np.arange(len(nodes))
+    return nodes[off], nodes[label[off]]
+
+
+def _contract(batches):
+    """Links of a task as forests of at most HELD links each."""
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        a, b = (np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False)]) for k, x in enumerate((a, b)))
+        if len(a) >= HELD:
+            a, b = stars(a, b)
+            if len(a) >= HELD // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["x", "y"])
+                a, b = a[:0], b[:0]
+    a, b = stars(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["x", "y"])
+
+
+def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Smallest node reachable: columns node, component, for nodes with a link.
+
+    Links (longs, none null) are contracted to forests where they lie, then
+    minimum labels spread with pointer jumping. Each round is a join on the
+    links and a partially aggregated minimum, cut to the shared folder; the
+    driver sees only whether a label changed.
     """
-    both = cut(
-        edges.where(F.col(a) != F.col(b))
-        .select(F.explode(F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")))).alias("e"))
-        .select("e.x", "e.y")
-        .distinct(),
-        "edges",
-    )
-    labels = cut(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")), "labels")
+    near = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).mapInArrow(_contract, "x long, y long"), "edges")
+    both = near.union(near.select("y", "x"))
+    labels = cut(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("label")), "labels")
     while True:
-        from_near = both.join(labels.withColumnRenamed("x", "y"), "y").select("x", "label")
-        best = from_near.union(labels).groupBy("x").agg(F.min("label").alias("near"))
+        spread = both.join(labels.withColumnRenamed("x", "y"), "y").select("x", "label")
+        best = spread.union(labels).groupBy("x").agg(F.min("label").alias("near"), F.max("label").alias("most"))
         jump = labels.select(F.col("x").alias("near"), F.col("label").alias("far"))
-        new = (
-            best.join(jump, "near", "left")
-            .select("x", F.least("near", F.coalesce("far", "near")).alias("label"))
-            .join(labels.withColumnRenamed("label", "was"), "x")
-            .select("x", "label", (F.col("label") < F.col("was")).alias("changed"))
-        )
-        new = cut(new, "labels")
-        moved = new.where("changed").limit(1).count()
+        new = cut(best.join(jump, "near", "left").select("x", F.least("near", F.coalesce("far", "near")).alias("label"), (F.col("most") > F.least("near", F.coalesce("far", "near"))).alias("moved")), "labels")
+        moved = bool(new.where("moved").limit(1).count())
         drop(labels)
-        labels = new.drop("changed")
-        labels._strandline_path = new._strandline_path
+        labels = new
         if not moved:
             break
-    drop(both)
-    return nodes.join(labels.withColumnRenamed("x", node), node, "left").select(node, F.coalesce("label", node).alias("component"))
+        labels = new.drop("moved")
+        labels._strandline_path = new._strandline_path
+    drop(near)
+    return labels.select(F.col("x").alias("node"), F.col("label").alias("component"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut, small_batches, table
+from strandline.llm.common import cut, plus, small_batches, table
 
 MAX_TOKENS = 4096
 #: First lengths of three-document patterns lie on this grid; keeps patterns few.
@@ -289,7 +289,7 @@ def place(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
             seq, offset = s["seq"][k] + i // s["per"][k], s["offset"][k] + i % s["per"][k] * length
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(seq), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = plus(pieces.schema, "sequence_id long, offset long")
     return ranked.select(*names, "rank").mapInArrow(run, schema)
 
 
