@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from strandline.llm import packing
+from strandline.llm import licenses, mixing, packing, quality, repeats, simhash, vectors
 
 
 def queries() -> dict:
     return {
         "op1_pack": packing.op1_pack,
+        "op4_simhash": simhash.op4_simhash,
+        "op5_vectors": vectors.op5_vectors,
+        "op6_repeats": repeats.op6_repeats,
+        "op7_mix": mixing.op7_mix,
+        "op8_quality": quality.op8_quality,
+        "op9_licenses": licenses.op9_licenses,
         "pipeline": corpus_pipeline.run,
     }
 
