@@ -106,7 +106,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     links and a partially aggregated minimum, cut to the shared folder; the
     driver sees only whether a label changed.
     """
-    near = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).mapInArrow(_contract, "x long, y long"), "edges")
+    near = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).mapInArrow(_contract, "x long, y long").distinct(), "edges")
     both = near.union(near.select("y", "x"))
     labels = cut(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("label")), "labels")
     while True:

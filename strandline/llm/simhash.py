@@ -6,10 +6,11 @@ both, so if each emits all variants within half the radius, they meet. On whole
 are put around halves first: of two fingerprints within 4 bits, one 32-bit half
 differs in 2 bits at most, and the variants within 1 bit of that half (33 for
 each half) meet. Pairs that collide there are verified. Only where a variant of a
-half collects more than ``CROWD`` fingerprints, as in a large group of near
+half collects more than ``CROWD`` fingerprints, as in a very large group of near
 copies, do its members emit the full ball; members that share a full variant are
 within the radius of one another by the triangle inequality, so each is linked to
-the smallest, and no group is ever expanded into pairs.
+the smallest. What a task finds leaves it as a forest, so no group is ever
+expanded into pairs.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from strandline.llm.common import connected_components, cut, drop, small_batches, stars, table
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: Fingerprints under one variant of a half that are compared with each other.
-CROWD = 32
+#: Fingerprints under one variant of a half that are compared with each other: up
+#: to here that costs less than shuffling the 2,081 variants of each.
+CROWD = 1024
 #: Rows that a task holds while it looks for collisions.
 HELD = 1 << 19
 
@@ -123,21 +125,26 @@ def _meet_halves(radius: int):
             hold = np.zeros(len(key), bool)
             hold[held] = True
             members = np.concatenate([members, fp[big & ~hold]])
-            k, f = key[(per_row > 1) & ~big & ~hold], fp[(per_row > 1) & ~big & ~hold]
-            a, b = [], []
+            small = (per_row > 1) & ~big & ~hold
+            k, f = key[small], fp[small]
+            # Rows that a group still has from each row on; pairs at a lag are a prefix of this order.
+            rest = (per_row - (np.arange(len(key)) - np.repeat(new, size)))[small]
+            order = np.argsort(-rest, kind="stable")
+            depth = -rest[order]
+            a, b = [none], [none]
             for lag in range(1, CROWD):
-                pair = np.flatnonzero(k[lag:] == k[:-lag]) if lag < len(k) else none
+                pair = order[: np.searchsorted(depth, -lag, side="left")]
                 if not len(pair):
                     break
                 x, y = f[pair], f[pair + lag]
                 near = _apart(x, y) <= radius
                 # A pair whose halves differ in one bit or none meets often; once is enough.
-                half = np.where(k[pair] >> 32 == 1, x >> 32, x) & 0xFFFFFFFF
-                other = np.where(k[pair] >> 32 == 1, y >> 32, y) & 0xFFFFFFFF
+                high = k[pair] >> 32 == 1
+                half, other = np.where(high, x >> 32, x) & 0xFFFFFFFF, np.where(high, y >> 32, y) & 0xFFFFFFFF
                 near &= (_apart(half, other) > 1) | (half == (k[pair] & 0xFFFFFFFF))
                 a.append(x[near])
                 b.append(y[near])
-            return np.concatenate([none, *a]), np.concatenate([none, *b]), np.unique(members), key[held], fp[held]
+            return *stars(np.concatenate(a), np.concatenate(b)), np.unique(members), key[held], fp[held]
 
         for key, fp in _columns(batches, ("key", "fp")):
             a, b, members, held_key, held_fp = work(np.concatenate([held_key, key]), np.concatenate([held_fp, fp]), False)
