@@ -5,7 +5,7 @@ two places, an offset below the period at which both lie on the cover. Short
 windows (window - period + 1 words) are hashed only at positions on the cover;
 two equal long windows always share such an anchor at the same offset. Anchors
 that repeat are few. Windows around them are extended to full length, hashed
-with 128 bits, and those that repeat are removed.
+with 96 bits, and those that repeat are removed.
 
 The anchors that repeat reach the documents as a bit sketch of bounded size. What
 the sketch lets through too much is sorted out by the exact count of windows, so
@@ -149,10 +149,10 @@ def _candidates(words: Words, bits: np.ndarray, window: int, period: int, cover)
 
 
 def repeated_windows(keyed: DataFrame, window: int = WINDOW, period: int = PERIOD, cover=COVER) -> DataFrame:
-    """key1, key2 and place of each window whose words also start somewhere else.
+    """key1, key2, place, upto: ranges of windows whose words also start somewhere else.
 
-    keyed: key1, key2, text. Windows of rows with one key are told apart only by
-    place, so equal rows must have equal texts.
+    keyed: key1, key2 (longs), text; a text is known by its keys. Ranges may
+    overlap and come more than once.
     """
     spark = keyed.sparkSession
     if not 1 <= period < window:
@@ -169,27 +169,60 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, period: int = PERIO
     bits = spark.sparkContext.broadcast(sketch(often))
     drop(often)
 
-    def count_windows(batches):
-        for _, texts in _steps(batches):
-            words = Words(texts)
-            at = _candidates(words, bits.value, window, period, cover)
-            h1, h2 = words.runs(at, window, 0), words.runs(at, window, 1)
-            order = np.lexsort((h2, h1))
-            h1, h2 = h1[order], h2[order]
-            new = np.flatnonzero(np.concatenate([[True] * (len(h1) > 0), (np.diff(h1) != 0) | (np.diff(h2) != 0)]))
-            n = np.diff(np.append(new, len(h1)))
-            yield pa.RecordBatch.from_arrays([pa.array(h1[new]), pa.array(h2[new]), pa.array(n.astype("i8"))], names=["h1", "h2", "n"])
+    def emit_windows(batches):
+        """One row for each hash of a step, and the windows that repeat within it as ranges.
 
-    def place_windows(batches):
+        Kind 0 stands for a window, kind 1 for several that are known to repeat,
+        kind 2 is a range of these. So a passage that a third of all documents
+        share comes once a step to the task that counts it.
+        """
         for keys, texts in _steps(batches):
             words = Words(texts)
             at = _candidates(words, bits.value, window, period, cover)
-            row = pa.array(words.text[at])
-            yield pa.RecordBatch.from_arrays([pa.array(words.runs(at, window, 0)), pa.array(words.runs(at, window, 1)), *(k.take(row) for k in keys), pa.array(words.place[at].astype("i4"))], names=["h1", "h2", "key1", "key2", "place"])
-
-    twice = keyed.select("text").mapInArrow(count_windows, "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
-    placed = keyed.select("key1", "key2", "text").mapInArrow(place_windows, "h1 long, h2 long, key1 long, key2 long, place int")
-    return placed.join(twice, ["h1", "h2"], "left_semi").select("key1", "key2", "place")
+            h1, h2 = words.runs(at, window, 0), words.runs(at, window, 1).astype("i4")
+            order = np.lexsort((h2, h1))
+            same = (np.diff(h1[order]) == 0) & (np.diff(h2[order]) == 0)
+            edge = np.ones(1, bool)[: len(at)]
+            first, last = np.concatenate([edge, ~same]), np.concatenate([~same, edge])
+            kind = np.where(last[first], 0, 1)
+            twice = np.zeros(len(at), bool)
+            twice[order] = ~(first & last)
+            # Ranges of windows next to each other in one text.
+            w = at[twice]
+            start = np.concatenate([np.ones(1, bool)[: len(w)], (np.diff(w) > 1) | (np.diff(words.text[w]) > 0)])
+            n = np.diff(np.append(np.flatnonzero(start), len(w)))
+            rep, run = at[order][first], w[start]
+            row = np.concatenate([words.text[rep], words.text[run]])
+            place = np.concatenate([words.place[rep], words.place[run]]).astype("i4")
+            upto = place + np.concatenate([np.ones(len(rep), "i4"), n]).astype("i4")
+            kind = np.concatenate([kind, np.full(len(run), 2)]).astype("i1")
+            spread = keys[1].to_numpy(zero_copy_only=False).astype("i8")[words.text[run]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([h1[order][first], spread])), pa.array(np.concatenate([h2[order][first], run.astype("i4")])), pa.array(kind), *(k.take(pa.array(row)) for k in keys), pa.array(place), pa.array(upto)],
+                names=["h1", "h2", "kind", "key1", "key2", "place", "upto"],
+            )
+
+    def meet(batches):
+        """Rows sorted by hash: windows that came from two steps, and ranges known before."""
+        names = ("h1", "h2", "kind", "key1", "key2", "place", "upto")
+        last: list[pa.Array] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c) for c in names]
+            if last:
+                cols = [pa.concat_arrays([x, y]) for x, y in zip(last, cols, strict=True)]
+            last = [c.slice(len(c) - 1) for c in cols]
+            h1, h2, kind = (c.to_numpy(zero_copy_only=False) for c in cols[:3])
+            window_row = kind < 2
+            same = (np.diff(h1) == 0) & (np.diff(h2) == 0) & window_row[1:] & window_row[:-1]
+            none = np.zeros(1, bool)
+            found = (kind == 2) | (kind == 0) & (np.concatenate([none, same]) | np.concatenate([same, none]))
+            rows = pa.array(np.flatnonzero(found))
+            yield pa.RecordBatch.from_arrays([c.take(rows) for c in cols[3:]], names=names[3:])
+
+    sent = keyed.select("key1", "key2", "text").mapInArrow(emit_windows, "h1 long, h2 int, kind byte, key1 long, key2 long, place int, upto int")
+    return sent.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "kind").mapInArrow(meet, "key1 long, key2 long, place int, upto int")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, period: int = PERIOD, cover=COVER) -> DataFrame:
@@ -202,7 +235,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     small_batches(docs.sparkSession)
     keyed = docs.select(F.col(id_col).cast("long").alias("key1"), F.xxhash64(text_col).alias("key2"), F.col(text_col).alias("text"))
-    found = repeated_windows(keyed, window, period, cover).groupBy("key1", "key2").agg(F.collect_set("place").alias("places"))
+    found = repeated_windows(keyed, window, period, cover).groupBy("key1", "key2").agg(F.collect_list(F.struct("place", "upto")).alias("places"))
     found = found.withColumnsRenamed({"key1": "_key1", "key2": "_key2"})
     joined = keyed.join(found, keyed["key1"].eqNullSafe(found["_key1"]) & (keyed["key2"] == found["_key2"]), "left").select("key1", "places", "text")
 
@@ -214,7 +247,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 n_words.append(len(words))
                 if at:
                     rise = np.zeros(len(words) + 1, np.int32)
-                    rise[at] = 1
+                    for r in at:
+                        rise[r["place"] : r["upto"]] = 1
                     rise[: len(words)] = np.cumsum(rise[: len(words)])
                     before = np.concatenate([np.zeros(window, np.int32), rise[: len(words)]])[: len(words)]
                     gone = rise[: len(words)] > before
