@@ -80,7 +80,7 @@ def votes(span: Column) -> list[Column]:
     kind, text, left, right = span["kind"], span["text"], F.lower(span["left"]), span["right"]
     d = _digits(text)
     n = F.length(d)
-    shape = F.when(span["base"], 1).when(kind.isin("ssn", "iban"), 0).otherwise(-1)
+    shape = F.when(span["base"], 1).otherwise(0)
     check = (
         F.when(kind == "card", F.when(F.length(d) > 0, 1))
         .when(kind == "email", F.when(F.lower(F.regexp_extract(text, r"([A-Za-z0-9]+)\)?\]?$", 1)).isin(ENDINGS), 1).otherwise(0))
@@ -100,7 +100,8 @@ def candidates(text: Column) -> tuple[Column, Column]:
     """Strict spans, and looser ones that touch none of them."""
     digit = text.rlike("[0-9]")
     may = {"email": F.contains(text, F.lit("@")), "ip": digit & F.contains(text, F.lit(".")), "card": digit, "phone": F.contains(text, F.lit("+"))}
-    base = F.concat(*[F.filter(S.find(text, PATTERNS[k], k, may[k], CONTEXT), lambda s, k=k: strict(k, s["text"])) for k in BASE])
+    counts = lambda kind: lambda s: strict(kind, s["text"])
+    base = F.concat(*[F.filter(S.find(text, PATTERNS[k], k, may[k], CONTEXT), counts(k)) for k in BASE])
     spelt = F.contains(text, F.lit("(at)")) | F.contains(text, F.lit("[at]")) | F.contains(text, F.lit("(AT)")) | F.contains(text, F.lit("[AT]"))
     loose = F.concat(*[S.find(text, p, k, spelt if k == "email" else digit, CONTEXT) for k, p in LOOSE.items()])
     return base, loose

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from strandline.llm import licenses, mixing, packing, quality, repeats, simhash, vectors
+from strandline.llm import licenses, merkle, mixing, packing, pii, quality, repeats, secrets, simhash, vectors
 
 
 def queries() -> dict:
     return {
         "op1_pack": packing.op1_pack,
+        "op2_pii": pii.op2_pii,
+        "op3_merkle": merkle.op3_merkle,
         "op4_simhash": simhash.op4_simhash,
         "op5_vectors": vectors.op5_vectors,
         "op6_repeats": repeats.op6_repeats,
         "op7_mix": mixing.op7_mix,
         "op8_quality": quality.op8_quality,
         "op9_licenses": licenses.op9_licenses,
+        "op10_secrets": secrets.op10_secrets,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -36,7 +36,7 @@ def test_fingerprints_and_components(spark, odd_docs):
         assert sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in got), key=key) == sorted(((d, f, first.get(comp[f])) for d, f in want), key=key)
 
 
-@pytest.mark.parametrize("crowd", [32, 3])
+@pytest.mark.parametrize("crowd", [1024, 32, 3])
 def test_links_of_clusters(spark, monkeypatch, crowd):
     """Clusters larger than the crowd limit go through full balls; no link is lost."""
     monkeypatch.setattr(simhash, "CROWD", crowd)
