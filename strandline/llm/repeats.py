@@ -14,6 +14,9 @@ its size bears on speed alone.
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +31,8 @@ COVER = (0, 1, 4, 14, 16)
 BITS_EACH, BITS_MOST = 16, 30
 #: Text bytes that one step of a task works on.
 STEP = 4 << 20
+#: Windows in a bucket of hashes, about.
+BUCKET = 2_000_000
 
 _BYTE_BASE, _WORD_BASES = 0x9E3779B97F4A7C15, (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 
@@ -148,11 +153,42 @@ def _candidates(words: Words, bits: np.ndarray, window: int, period: int, cover)
     return np.flatnonzero((np.cumsum(rise[:n]) > 0) & (words.left >= window))
 
 
+def _pack(h1, h2, single, doc, place, key1, key2, null) -> bytes:
+    """Windows in order of their documents as bytes: hashes plain, places squeezed."""
+    used, at = np.unique(doc, return_inverse=True)
+    rest = zlib.compress(b"".join([single.astype("u1").tobytes(), at.astype("<i4").tobytes(), place.astype("<i4").tobytes(), null[used].astype("u1").tobytes(), key1[used].tobytes(), key2[used].tobytes()]), 1)
+    return struct.pack("<ii", len(h1), len(used)) + h1.tobytes() + h2.tobytes() + rest
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    """h1, h2, single, key1, key2, whether key1 is null, and place of each window."""
+    n, d = struct.unpack_from("<ii", data)
+    h1, h2 = np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<i4", n, 8 + 8 * n)
+    rest = zlib.decompress(data[8 + 12 * n :])
+    single, at, place, null = np.frombuffer(rest, "u1", n), np.frombuffer(rest, "<i4", n, n), np.frombuffer(rest, "<i4", n, 5 * n), np.frombuffer(rest, "u1", d, 9 * n)
+    key1, key2 = np.frombuffer(rest, "<i8", d, 9 * n + d), np.frombuffer(rest, "<i8", d, 9 * n + 9 * d)
+    return [h1, h2, single, key1[at], key2[at], null[at], place]
+
+
+def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that sorts by the columns, and which rows of it are a group's first and last."""
+    order = np.lexsort(columns[::-1])
+    same = np.ones(max(len(order) - 1, 0), bool)
+    for c in columns:
+        same &= np.diff(c[order]) == 0
+    edge = np.ones(1, bool)[: len(order)]
+    return order, np.concatenate([edge, ~same]), np.concatenate([~same, edge])
+
+
+_FOUND = pa.schema([("key1", pa.int64()), ("key2", pa.int64()), ("ranges", pa.binary()), ("places", pa.binary())])
+
+
 def repeated_windows(keyed: DataFrame, window: int = WINDOW, period: int = PERIOD, cover=COVER) -> DataFrame:
-    """key1, key2, place, upto: ranges of windows whose words also start somewhere else.
+    """key1, key2, ranges, places: windows whose words also start somewhere else.
 
-    keyed: key1, key2 (longs), text; a text is known by its keys. Ranges may
-    overlap and come more than once.
+    keyed: key1, key2 (longs), text; a text is known by its keys. ranges holds
+    pairs (first, end) and places single windows, as little-endian ints; either
+    may be null, a key has many rows, and windows may come more than once.
     """
     spark = keyed.sparkSession
     if not 1 <= period < window:
@@ -165,64 +201,76 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, period: int = PERIO
             h, n = np.unique(words.runs(_anchors(words, width, period, cover), width), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype("i8"))], names=["h", "n"])
 
-    often = cut(keyed.select("text").mapInArrow(emit_anchors, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors")
-    bits = spark.sparkContext.broadcast(sketch(often))
+    anchors = keyed.select("text").mapInArrow(emit_anchors, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    often = cut(anchors.where("n > 1"), "anchors")
+    bits = spark.sparkContext.broadcast(sketch(often.select("h")))
+    # Windows that hold a repeated anchor are at most period for each; a bucket is to hold BUCKET.
+    buckets = max(96, int((often.agg(F.sum("n")).first()[0] or 0) * period / len(cover) / BUCKET))
     drop(often)
 
     def emit_windows(batches):
-        """One row for each hash of a step, and the windows that repeat within it as ranges.
+        """For each bucket of hashes one row with a step's windows, each hash once.
 
-        Kind 0 stands for a window, kind 1 for several that are known to repeat,
-        kind 2 is a range of these. So a passage that a third of all documents
-        share comes once a step to the task that counts it.
+        Windows that repeat within the step are known to; they go out as ranges.
+        So a passage that a third of all documents share comes once a step to the
+        task that counts it.
         """
         for keys, texts in _steps(batches):
             words = Words(texts)
             at = _candidates(words, bits.value, window, period, cover)
             h1, h2 = words.runs(at, window, 0), words.runs(at, window, 1).astype("i4")
-            order = np.lexsort((h2, h1))
-            same = (np.diff(h1[order]) == 0) & (np.diff(h2[order]) == 0)
-            edge = np.ones(1, bool)[: len(at)]
-            first, last = np.concatenate([edge, ~same]), np.concatenate([~same, edge])
-            kind = np.where(last[first], 0, 1)
+            order, first, last = _groups(h1, h2)
             twice = np.zeros(len(at), bool)
             twice[order] = ~(first & last)
-            # Ranges of windows next to each other in one text.
+            out = []
             w = at[twice]
-            start = np.concatenate([np.ones(1, bool)[: len(w)], (np.diff(w) > 1) | (np.diff(words.text[w]) > 0)])
-            n = np.diff(np.append(np.flatnonzero(start), len(w)))
-            rep, run = at[order][first], w[start]
-            row = np.concatenate([words.text[rep], words.text[run]])
-            place = np.concatenate([words.place[rep], words.place[run]]).astype("i4")
-            upto = place + np.concatenate([np.ones(len(rep), "i4"), n]).astype("i4")
-            kind = np.concatenate([kind, np.full(len(run), 2)]).astype("i1")
-            spread = keys[1].to_numpy(zero_copy_only=False).astype("i8")[words.text[run]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([h1[order][first], spread])), pa.array(np.concatenate([h2[order][first], run.astype("i4")])), pa.array(kind), *(k.take(pa.array(row)) for k in keys), pa.array(place), pa.array(upto)],
-                names=["h1", "h2", "kind", "key1", "key2", "place", "upto"],
-            )
+            run = np.concatenate([np.ones(1, bool)[: len(w)], (np.diff(w) > 1) | (np.diff(words.text[w]) > 0)])
+            start = w[run]
+            pair = np.stack([words.place[start], words.place[start] + np.diff(np.append(np.flatnonzero(run), len(w)))], 1).astype("<i4")
+            key1, key2 = (k.fill_null(0).to_numpy(zero_copy_only=False).astype("i8") for k in keys)
+            null = keys[0].is_null().to_numpy(zero_copy_only=False)
+            for part in np.split(np.arange(len(start)), np.flatnonzero(np.diff(words.text[start])) + 1) if len(start) else []:
+                doc = words.text[start[part[0]]]
+                out.append((int(key2[doc] % buckets), None if null[doc] else int(key1[doc]), int(key2[doc]), pair[part].tobytes(), None))
+            kept = np.sort(order[first])
+            to = (h1[kept].view("u8") >> np.uint64(20)) % np.uint64(buckets)
+            by = np.argsort(to, kind="stable")
+            for part in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(kept) else []:
+                k = kept[part]
+                out.append((int(to[part[0]]), None, None, None, _pack(h1[k], h2[k], ~twice[k], words.text[at[k]], words.place[at[k]], key1, key2, null)))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "key1", "key2", "ranges", "windows"])
+
+    def count(parts):
+        """Rows for the windows of a bucket that came from two steps; they are single in theirs."""
+        h1, h2, single, key1, key2, null, place = (np.concatenate(c) for c in zip(*map(_unpack, parts), strict=True))
+        order, first, last = _groups(h1, h2)
+        found = order[~(first & last) & (single[order] == 1)]
+        by, first, _ = _groups(null[found], key1[found], key2[found])
+        found = found[by]
+        ends = np.flatnonzero(first)
+        lead = found[ends]
+        cols = [pa.array(key1[lead], mask=null[lead].astype(bool)), pa.array(key2[lead]), pa.nulls(len(lead), pa.binary()), pa.array([x.tobytes() for x in np.split(place[found].astype("<i4"), ends[1:])][: len(lead)], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, schema=_FOUND)
 
     def meet(batches):
-        """Rows sorted by hash: windows that came from two steps, and ranges known before."""
-        names = ("h1", "h2", "kind", "key1", "key2", "place", "upto")
-        last: list[pa.Array] | None = None
+        """Rows sorted by bucket: one bucket's windows at a time."""
+        held, bucket = [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(c) for c in names]
-            if last:
-                cols = [pa.concat_arrays([x, y]) for x, y in zip(last, cols, strict=True)]
-            last = [c.slice(len(c) - 1) for c in cols]
-            h1, h2, kind = (c.to_numpy(zero_copy_only=False) for c in cols[:3])
-            window_row = kind < 2
-            same = (np.diff(h1) == 0) & (np.diff(h2) == 0) & window_row[1:] & window_row[:-1]
-            none = np.zeros(1, bool)
-            found = (kind == 2) | (kind == 0) & (np.concatenate([none, same]) | np.concatenate([same, none]))
-            rows = pa.array(np.flatnonzero(found))
-            yield pa.RecordBatch.from_arrays([c.take(rows) for c in cols[3:]], names=names[3:])
-
-    sent = keyed.select("key1", "key2", "text").mapInArrow(emit_windows, "h1 long, h2 int, kind byte, key1 long, key2 long, place int, upto int")
-    return sent.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "kind").mapInArrow(meet, "key1 long, key2 long, place int, upto int")
+            ranges = batch.filter(batch.column(3).is_valid())
+            yield pa.RecordBatch.from_arrays([*(ranges.column(c) for c in (1, 2, 3)), pa.nulls(ranges.num_rows, pa.binary())], schema=_FOUND)
+            sent = batch.filter(batch.column(4).is_valid())
+            for b, data in zip(sent.column(0).to_pylist(), sent.column(4).to_pylist(), strict=True):
+                if held and b != bucket:
+                    yield count(held)
+                    held = []
+                bucket = b
+                held.append(data)
+        if held:
+            yield count(held)
+
+    sent = keyed.select("key1", "key2", "text").mapInArrow(emit_windows, "bucket int, key1 long, key2 long, ranges binary, windows binary")
+    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key1 long, key2 long, ranges binary, places binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, period: int = PERIOD, cover=COVER) -> DataFrame:
@@ -235,23 +283,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     small_batches(docs.sparkSession)
     keyed = docs.select(F.col(id_col).cast("long").alias("key1"), F.xxhash64(text_col).alias("key2"), F.col(text_col).alias("text"))
-    found = repeated_windows(keyed, window, period, cover).groupBy("key1", "key2").agg(F.collect_list(F.struct("place", "upto")).alias("places"))
+    found = repeated_windows(keyed, window, period, cover).groupBy("key1", "key2").agg(F.collect_list("ranges").alias("ranges"), F.collect_list("places").alias("places"))
     found = found.withColumnsRenamed({"key1": "_key1", "key2": "_key2"})
-    joined = keyed.join(found, keyed["key1"].eqNullSafe(found["_key1"]) & (keyed["key2"] == found["_key2"]), "left").select("key1", "places", "text")
+    joined = keyed.join(found, keyed["key1"].eqNullSafe(found["_key1"]) & (keyed["key2"] == found["_key2"]), "left").select("key1", "ranges", "places", "text")
 
     def run(batches):
-        for (ids, places), texts in _steps(batches):
+        for (ids, ranges, places), texts in _steps(batches):
             n_words, n_removed, kept = [], [], []
-            for text, at in zip(texts, places.to_pylist(), strict=True):
+            for text, pairs, singles in zip(texts, ranges.to_pylist(), places.to_pylist(), strict=True):
                 words = text.split()
                 n_words.append(len(words))
-                if at:
-                    rise = np.zeros(len(words) + 1, np.int32)
-                    for r in at:
-                        rise[r["place"] : r["upto"]] = 1
-                    rise[: len(words)] = np.cumsum(rise[: len(words)])
-                    before = np.concatenate([np.zeros(window, np.int32), rise[: len(words)]])[: len(words)]
-                    gone = rise[: len(words)] > before
+                starts = np.zeros(len(words), np.int32)
+                for data in pairs or []:
+                    for first, end in np.frombuffer(data, "<i4").reshape(-1, 2).tolist():
+                        starts[first:end] = 1
+                for data in singles or []:
+                    starts[np.frombuffer(data, "<i4")] = 1
+                if starts.any():
+                    # A word is covered if a window starts at it or at one of the window - 1 before.
+                    total = np.cumsum(starts)
+                    gone = total > np.concatenate([np.zeros(window, np.int32), total])[: len(words)]
                     n_removed.append(int(gone.sum()))
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 else:
