@@ -4,7 +4,7 @@ Paragraphs are lines, sections are ``SECTION`` lines in a row. A paragraph's nod
 is the SHA-256 of its text, a section's that of its paragraphs' nodes, the root's
 that of its sections' nodes: equal roots mean equal texts, and where roots differ,
 the sections and then the paragraphs that differ say where. Below the paragraphs,
-pieces of ``PIECE`` words carry 64-bit hashes; likeness is the share of pieces that
+pieces of ``PIECE`` words carry 32-bit hashes; likeness is the share of pieces that
 two trees have in common. Everything is a column expression.
 """
 
@@ -29,7 +29,7 @@ def tree(text: Column, section: int = SECTION, piece: int = PIECE) -> Column:
     text = F.coalesce(text, F.lit(""))
     lines = F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p, 256))
     groups = lambda nodes: F.transform(F.sequence(F.lit(0), F.ceil(F.size(nodes) / section).cast("int") - 1), lambda i: F.sha2(F.array_join(F.slice(nodes, i * section + 1, section), ""), 256))
-    leaves = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_PIECES % piece), F.lit(0)), lambda p: F.xxhash64(p)))
+    leaves = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_PIECES % piece), F.lit(0)), lambda p: F.hash(p)))
     given = F.transform(F.array(lines), lambda nodes: F.struct(groups(nodes).alias("sections"), nodes.alias("paragraphs")))
     made = F.transform(
         given,
@@ -66,9 +66,9 @@ def fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def successors(keys: DataFrame) -> DataFrame:
-    """k1, k2, need, n1, n2: each key and the next in order; after the last, the first.
+    """k1, k2, n1, n2 and the other columns: each key and the next; after the last, the first.
 
-    keys: k1, k2 and need, each key once. Keys are sorted by range, numbered
+    keys: k1, k2 and any other columns, each key once. Keys are sorted by range, numbered
     within their partition and joined on the next number; only the bounds of the
     partitions, as many as there are partitions, go through the driver.
     """
@@ -76,13 +76,13 @@ def successors(keys: DataFrame) -> DataFrame:
     placed = cut(keys.repartitionByRange("k1", "k2").sortWithinPartitions("k1", "k2").withColumn("at", F.monotonically_increasing_id()), "order")
     bounds = sorted(tuple(r) for r in placed.groupBy(F.shiftright("at", 33)).agg(F.min("at"), F.max("at")).select("min(at)", "max(at)").collect())
     jumps = spark.createDataFrame([(hi, bounds[(i + 1) % len(bounds)][0]) for i, (_, hi) in enumerate(bounds)], "at long, jump long")
-    ahead = placed.join(F.broadcast(jumps), "at", "left").select("k1", "k2", "need", F.coalesce("jump", F.col("at") + 1).alias("next"))
+    ahead = placed.join(F.broadcast(jumps), "at", "left").select(*keys.columns, F.coalesce("jump", F.col("at") + 1).alias("next"))
     then = placed.select(F.col("at").alias("next"), F.col("k1").alias("n1"), F.col("k2").alias("n2"))
     return ahead.join(then, "next").drop("next")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, n_chars, tree, edited (text) and next_tree of every row.
+    """doc_id, text, n_chars, edited (text) and next_tree (root and pieces) of every row.
 
     edited is the text whose last floor(n_chars / 4) code points are replaced by
     the first as many (or all) of the next document's. Documents follow each
@@ -90,23 +90,24 @@ def with_next(docs: DataFrame) -> DataFrame:
     Rows that repeat both are one document, returned as often. Null texts are
     empty.
     """
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k1"), F.xxhash64("text").alias("k2"), tree(F.col("text")).alias("tree")).repartition("k1", "k2")
-    sizes = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text).alias("k2"), F.floor(F.length(text) / 4).cast("int").alias("need"))
-    order = cut(successors(sizes.groupBy("k1", "k2").agg(F.max("need").alias("need"))), "next")
+    text, least = F.coalesce("text", F.lit("")), F.lit(-(1 << 63))
+    # Both sides of the plan read these three columns, so whole texts are shuffled once.
+    keyed = docs.select(F.coalesce("doc_id", least).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"))
+    sizes = keyed.select("k1", "k2", F.floor(F.length("text") / 4).cast("int").alias("need"))
+    order = cut(successors(sizes.groupBy("k1", "k2").agg(F.max("need").alias("need"), F.count("*").alias("n"))), "next")
     # The next document's part, once for each document before it, however often it is repeated.
     given = order.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), "need", F.col("n1").alias("k1"), F.col("n2").alias("k2"))
-    parts = keyed.join(given, ["k1", "k2"]).select(F.col("p1").alias("k1"), F.col("p2").alias("k2"), F.expr("left(text, need)").alias("part"), F.col("tree").alias("next_tree"))
-    repeated = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text).alias("k2")).groupBy("k1", "k2").count().where("count > 1").select("k1", "k2")
-    once = parts.dropDuplicates(["k1", "k2"]) if repeated.limit(1).count() else parts
-    joined = keyed.join(once, ["k1", "k2"])
+    parts = keyed.join(given, ["k1", "k2"]).select(F.col("p1").alias("k1"), F.col("p2").alias("k2"), F.expr("left(text, need)").alias("part"), tree(F.col("text")).alias("next_tree"))
+    parts = parts.select("k1", "k2", "part", F.struct("next_tree.root", "next_tree.pieces").alias("next_tree"))
+    repeated = order.where("n > 1").limit(1).count()
+    joined = keyed.join(parts.dropDuplicates(["k1", "k2"]) if repeated else parts, ["k1", "k2"])
     n = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.col("part"))
-    return joined.select("doc_id", "text", n.cast("long").alias("n_chars"), "tree", edited.alias("edited"), "next_tree")
+    return joined.select(F.nullif("k1", least).alias("doc_id"), "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "next_tree")
 
 
 def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_next(table(spark, sf_dir, "documents")).withColumn("edited_tree", tree(F.col("edited")))
+    rows = with_next(table(spark, sf_dir, "documents")).withColumns({"tree": tree(F.col("text")), "edited_tree": tree(F.col("edited"))})
     return rows.select(
         "doc_id",
         "n_chars",
