@@ -28,7 +28,7 @@ WINDOW, PERIOD = 35, 21
 #: A difference cover of the residues modulo 21.
 COVER = (0, 1, 4, 14, 16)
 #: Sketch bits for each repeated anchor, and at most.
-BITS_EACH, BITS_MOST = 16, 30
+BITS_EACH, BITS_MOST = 16, 29
 #: Text bytes that one step of a task works on.
 STEP = 4 << 20
 #: Windows in a bucket of hashes, about.
@@ -231,7 +231,7 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, period: int = PERIO
             null = keys[0].is_null().to_numpy(zero_copy_only=False)
             for part in np.split(np.arange(len(start)), np.flatnonzero(np.diff(words.text[start])) + 1) if len(start) else []:
                 doc = words.text[start[part[0]]]
-                out.append((int(key2[doc] % buckets), None if null[doc] else int(key1[doc]), int(key2[doc]), pair[part].tobytes(), None))
+                out.append(((int(key1[doc]) ^ int(key2[doc])) % buckets, None if null[doc] else int(key1[doc]), int(key2[doc]), pair[part].tobytes(), None))
             kept = np.sort(order[first])
             to = (h1[kept].view("u8") >> np.uint64(20)) % np.uint64(buckets)
             by = np.argsort(to, kind="stable")
