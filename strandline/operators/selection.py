@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.sequence import first_crossing, noisy_or
+from strandline.scratch import cut
 
 
 def best_of_n(scored: DataFrame, group: str = "query_id", score: str = "score", row: str = "row_index", flag: str = "selected") -> DataFrame:
@@ -30,6 +31,8 @@ def winners(scored: DataFrame, group: str = "query_id", score: str = "score", ro
 
 def score_report(scored: DataFrame, onset_threshold: float = 0.5) -> DataFrame:
     """The ten clir_* fields of every trajectory, and row_index and query_id."""
+    # Three parts of the plan read the model's outputs; they are worked out once.
+    scored = cut(scored.select("row_index", "query_id", "score", "hallucination_logits", "gates", "fused_prior", "condition_relevance", "key_prior", "complete_prior"), "scored")
     tokens = scored.select("row_index", F.posexplode(F.arrays_zip("hallucination_logits", "gates", "fused_prior")).alias("pos", "t"))
     per_row = tokens.groupBy("row_index").agg(
         noisy_or("t.hallucination_logits").alias("clir_path_hallucination_prob"),

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 
 from strandline.operators import batching, forward, losses
 from strandline.schema import RewardConfig
+from strandline.scratch import cut
 from strandline.sources.trajectories import tokens as label_tokens
 
 
@@ -28,8 +29,8 @@ def phase_of(mode: str, epoch: int) -> str:
 
 
 def loss_tables(trajectories: DataFrame, plan: DataFrame, params: dict, config: RewardConfig) -> tuple[DataFrame, DataFrame]:
-    """The tables of rows and of tokens that losses are computed from."""
-    scored = forward.forward(trajectories, params, config)
+    """The tables of rows and of tokens that losses are computed from; the model runs once."""
+    scored = cut(forward.forward(trajectories, params, config), "scored")
     keys = trajectories.select("row_index", "semantic_key", "style_key", "correctness", "path_hallucinated", "hallucination_onset", "complete_reconstruction_target")
     rows = plan.select("batch_id", "row_index").join(scored.select("row_index", "n_tokens", "score", "representation", "reconstruction"), "row_index").join(keys, "row_index")
     outputs = forward.token_rows(scored)

@@ -156,10 +156,75 @@ def test_plan_invariants(spark):
         assert all(len(b) == size for b in plan(spark, keys, size, drop_last=True))
 
 
-def test_next_fit_drops_mid_plan():
-    assert list(batching.next_fit([[0, 1], [2, 3], [4, 5]], [], 3, True)) == []
-    assert list(batching.next_fit([[0, 1], [2, 3], [4, 5]], [6], 3, True)) == [[0, 1, 6]]
-    assert list(batching.next_fit([], [1, 2, 3], 2, False)) == [[3, 2], [1]]
+def slow_plan(groups, size, drop_last):
+    """The greedy plan, one chunk at a time."""
+    chunks, spare = [], []
+    for g in groups:
+        for at in range(0, len(g), max(2, size // 2)):
+            part = g[at : at + max(2, size // 2)]
+            (chunks if len(part) > 1 else spare).append(part if len(part) > 1 else part[0])
+    out, now = [], []
+
+    def close():
+        while len(now) < size and spare:
+            now.append(spare.pop())
+        if len(now) == size or now and not drop_last:
+            out.append(list(now))
+        now.clear()
+
+    for c in sorted(chunks, key=len, reverse=True):
+        if len(now) + len(c) > size:
+            close()
+        if len(c) == size:
+            out.append(c)
+        else:
+            now.extend(c)
+    close()
+    while spare:
+        part, spare = spare[:size], spare[size:]
+        if len(part) == size or not drop_last:
+            out.append(part)
+    return out
+
+
+def expand(groups, size, drop_last):
+    """next_fit's runs written out."""
+    m = max(2, size // 2)
+    chunks, spare = [], []
+    for g in groups:
+        for at in range(0, len(g), m):
+            part = g[at : at + m]
+            (chunks if len(part) > 1 else spare).append(part)
+    chunks.sort(key=len, reverse=True)
+    sizes = {}
+    for c in chunks:
+        sizes[len(c)] = sizes.get(len(c), 0) + 1
+    runs, tops, n = batching.next_fit(sizes, len(spare), size, drop_last)
+    out = [{} for _ in range(n)]
+
+    def put(r, item, i):
+        for k, x in enumerate(item):
+            slot = r.slot + i % r.per * r.width + k
+            assert slot not in out[r.batch + i // r.per]
+            out[r.batch + i // r.per][slot] = x
+
+    for r in runs:
+        for i in range(r.n):
+            put(r, chunks[r.start + i], i)
+    for r in tops:
+        for i in range(abs(r.n)):
+            put(r, spare[i] if r.n < 0 else spare[len(spare) - 1 - r.start - i], i)
+    return [[b[k] for k in sorted(b)] for b in out]
+
+
+def test_next_fit_by_counts():
+    """Packing by counts of sizes is packing chunk by chunk, mid-plan drops included."""
+    r = random.Random(11)
+    for _ in range(3000):
+        size, left = r.randint(2, 12), iter(range(10_000))
+        groups = [[next(left) for _ in range(r.choice([1, 1, 2, 3, r.randint(1, 30)]))] for _ in range(r.randint(0, 25))]
+        drop = r.random() < 0.5
+        assert expand(groups, size, drop) == slow_plan(groups, size, drop), (groups, size, drop)
 
 
 def test_split(spark):
