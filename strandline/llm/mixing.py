@@ -58,10 +58,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     The driver gets one row a source, as the weights are given by source. Ranks
     in a source come from a count by (source, size, salt): no task holds a whole
     source. A null source is one source; rows repeated in docs are documents of
-    their own; an empty document or source takes nothing. Column names that
-    start with ``_mix`` are taken.
+    their own; an empty document or source takes nothing. Columns of docs with the
+    names of the three new ones are replaced; names that start with ``_mix`` are
+    taken.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop("source_size", "target", "copies")
     per = {r["source"]: (r["n"] or 0) for r in docs.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     goal = targets(per, weights, share, cap)
     rows = [(s, int(per[s]), float(goal[s]), goal[s] / per[s] if per[s] else 0.0, (zlib.crc32(f"{seed}:{s}".encode()) & 0xFFFF) / 0x10000) for s in per]

@@ -172,9 +172,13 @@ def scan(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, fdr: flo
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with every secret of its text replaced by a mark; a null text stays null."""
-    found = scan(docs.withColumn("_text", F.col("text")))
-    return found.withColumn("text", F.when(F.col("_text").isNotNull(), S.redact(F.col("_text"), F.col("spans"), mark))).select(*docs.columns)
+    """docs with every secret of its text replaced by a mark; a null text stays null.
+
+    All other columns stay, whatever their names.
+    """
+    found = scan(docs.select(F.struct(*docs.columns).alias("_row"), "text"))
+    clean = F.when(F.col("text").isNotNull(), S.redact(F.col("text"), F.col("spans"), mark)).alias("text")
+    return found.select(*[clean if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
