@@ -47,6 +47,11 @@ def squared_error(a, b) -> Column:
 # Arrays
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value worked out once even if f uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def dot(a, b) -> Column:
     """Inner product of two arrays of equal length."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -66,17 +71,16 @@ def norm(a) -> Column:
 
 
 def l2_normalize(a, eps: float = 1e-12) -> Column:
-    size = F.greatest(norm(a), F.lit(eps))
-    return F.transform(a, lambda x: x.cast("double") / size)
+    return let(F.greatest(norm(a), F.lit(eps)), lambda size: F.transform(a, lambda x: x.cast("double") / size))
 
 
 def layer_norm(a, eps: float = 1e-5) -> Column:
     """Zero mean and unit (biased) variance; the affine part is left to the caller."""
     a = F.col(a) if isinstance(a, str) else a
-    n = F.size(a)
-    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / n
-    var = F.aggregate(a, F.lit(0.0), lambda s, x: s + (x.cast("double") - mean) * (x.cast("double") - mean)) / n
-    return F.transform(a, lambda x: (x.cast("double") - mean) / F.sqrt(var + eps))
+    total = lambda f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x.cast("double")))
+    spread = lambda mean: total(lambda x: (x - mean) * (x - mean)) / F.size(a)
+    scaled = lambda mean, var: F.transform(a, lambda x: (x.cast("double") - mean) / F.sqrt(var + eps))
+    return let(total(lambda x: x) / F.size(a), lambda mean: let(spread(mean), lambda var: scaled(mean, var)))
 
 
 def pad_or_trim(a, length) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.sequence import first_crossing, noisy_or
+from strandline.functions.sequence import first_crossing, let, noisy_or
 from strandline.scratch import cut
 
 
@@ -51,7 +51,7 @@ def score_report(scored: DataFrame, onset_threshold: float = 0.5) -> DataFrame:
         "clir_mean_gate",
         "clir_prior_gate_alignment",
         F.col("condition_relevance").alias("clir_condition_relevance"),
-        F.transform("gates", lambda g: g / gate_mass).alias("clir_gate_attention"),
+        let(gate_mass, lambda m: F.transform("gates", lambda g: g / m)).alias("clir_gate_attention"),
         F.col("key_prior").alias("clir_key_prior"),
         F.col("complete_prior").alias("clir_complete_prior"),
         "clir_selected_best_of_n",
