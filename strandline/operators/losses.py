@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.sequence import bce, bce_with_logits, dot, mean_or_zero, noisy_or, norm, normalize_attention, sigmoid, squared_error
+from strandline.functions.sequence import CLAMP, bce, bce_with_logits, dot, mean_or_zero, normalize_attention, sigmoid, squared_error
 from strandline.schema import METRICS, Phase, RewardConfig
 
 ROW_LABELS = ("hallucination_onset", "path_hallucinated")
@@ -25,9 +25,9 @@ def check_onsets(rows: DataFrame) -> DataFrame:
     return rows.withColumn("hallucination_onset", F.when(bad, F.raise_error(said).cast("int")).otherwise(F.col("hallucination_onset")))
 
 
-def final_loss(rows: DataFrame) -> DataFrame:
+def final_term() -> Column:
     """Cross-entropy of the score; a missing correctness counts as 0 where another row has one."""
-    return rows.groupBy("batch_id").agg(F.when(F.bool_or(F.col("correctness").isNotNull()), F.avg(bce_with_logits("score", F.coalesce("correctness", F.lit(0.0))))).otherwise(F.lit(0.0)).alias("final"))
+    return F.when(F.bool_or(F.col("correctness").isNotNull()), F.avg(bce_with_logits("score", F.coalesce("correctness", F.lit(0.0))))).otherwise(F.lit(0.0)).alias("final")
 
 
 def labelled_tokens(rows: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -38,64 +38,97 @@ def labelled_tokens(rows: DataFrame, tokens: DataFrame) -> DataFrame:
     return joined.withColumns({"tail": F.coalesce((onset >= 0) & (F.col("pos") >= onset), F.lit(False)), "onset_known": onset.isNotNull()})
 
 
-def localization_losses(labelled: DataFrame, margin: float) -> DataFrame:
+def prepared(labelled: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """labelled tokens with what losses need of their whole row.
+
+    All of it comes from windows over one key, so one shuffle serves every token
+    loss: gate_mass, the row's first crossing, its path probability, and whether
+    the token is its row's first, to count the row once.
+    """
+    w = Window.partitionBy("row_index")
+    p = F.greatest(F.least(sigmoid("hallucination_logits"), F.lit(1 - CLAMP)), F.lit(CLAMP))
+    return labelled.withColumns(
+        {
+            "gate_mass": normalize_attention("gates"),
+            "crossing": F.min(F.when(sigmoid("hallucination_logits") >= threshold, F.col("pos"))).over(w),
+            "path_p": 1 - F.exp(F.sum(F.ln(1 - p)).over(w)),
+            "leads": F.col("pos") == F.min("pos").over(w),
+        }
+    )
+
+
+def localization_terms(margin: float) -> list[Column]:
     """token_bce, token_reward and tail_margin; none where no row of the batch has an onset label."""
     tail, value = F.col("tail"), F.col("token_values")
     target = F.when(tail, F.lit(-margin)).otherwise(F.coalesce("adv", F.lit(0.0)))
     off = lambda c: F.when(F.bool_or("onset_known"), c).otherwise(F.lit(0.0))
     short = F.greatest(value + margin, F.lit(0.0))
-    return labelled.groupBy("batch_id").agg(
+    return [
         off(mean_or_zero(bce_with_logits("hallucination_logits", tail), F.col("onset_known"))).alias("localization_token_bce"),
         off(mean_or_zero(squared_error(value, target), F.col("adv").isNotNull() | tail)).alias("localization_token_reward"),
         off(mean_or_zero(short * short, tail)).alias("localization_tail_margin"),
-    )
+    ]
 
 
-def mil_loss(labelled: DataFrame) -> DataFrame:
+def mil_term() -> Column:
     """Cross-entropy of the chance that any token is hallucinated, over labelled rows."""
-    path = labelled.where("path_hallucinated is not null").groupBy("batch_id", "row_index").agg(noisy_or("hallucination_logits").alias("p"), F.first("path_hallucinated").alias("y"))
-    return path.groupBy("batch_id").agg(F.avg(bce("p", "y")).alias("hallucination_mil"))
+    return mean_or_zero(bce("path_p", "path_hallucinated"), F.col("leads") & F.col("path_hallucinated").isNotNull()).alias("hallucination_mil")
 
 
-def pseudo_tail_loss(labelled: DataFrame, threshold: float, margin: float) -> DataFrame:
+def pseudo_tail_term(margin: float) -> Column:
     """Hinge on tokens from the first crossing on, in positive rows without an onset label."""
-    weak = labelled.where(F.col("path_hallucinated").isNotNull() & (F.col("path_hallucinated") != 0) & ~F.col("onset_known"))
-    crossed = F.min(F.when(sigmoid("hallucination_logits") >= threshold, F.col("pos"))).over(Window.partitionBy("row_index"))
+    weak = F.coalesce(F.col("path_hallucinated") != 0, F.lit(False)) & ~F.col("onset_known")
     short = F.greatest(F.col("token_values") + margin, F.lit(0.0))
-    return weak.withColumn("from", crossed).where(F.col("pos") >= F.col("from")).groupBy("batch_id").agg(F.avg(short * short).alias("pseudo_tail"))
+    return mean_or_zero(short * short, weak & F.coalesce(F.col("pos") >= F.col("crossing"), F.lit(False))).alias("pseudo_tail")
 
 
-def progress_loss(tokens: DataFrame) -> DataFrame:
-    return tokens.groupBy("batch_id").agg(mean_or_zero(squared_error("progress", "prog"), F.col("prog").isNotNull()).alias("progress"))
+def progress_term() -> Column:
+    return mean_or_zero(squared_error("progress", "prog"), F.col("prog").isNotNull()).alias("progress")
 
 
-def prior_losses(rows: DataFrame, tokens: DataFrame, config: RewardConfig, phase: str = "joint") -> DataFrame:
-    """The five prior terms and their total; those of the phase alone are not 0.
+def prior_terms(phase: str = "joint") -> list[Column]:
+    """The four token terms of the priors; those of other phases are 0.
 
     Distillation and the gate term compare attention mass on tokens that both
     priors label, without scaling it anew, and need both labels in the batch.
     """
-    p = Phase(phase)
+    p, zero = Phase(phase), F.lit(0.0)
     key, complete = F.col("key_t").isNotNull(), F.col("comp_t").isNotNull()
-    both = lambda c: F.when(F.bool_or(key) & F.bool_or(complete), c).otherwise(F.lit(0.0))
-    zero = F.lit(0.0)
-    with_gate = tokens.withColumn("gate_mass", normalize_attention("gates"))
-    terms = with_gate.groupBy("batch_id").agg(
+    both = lambda c: F.when(F.bool_or(key) & F.bool_or(complete), c).otherwise(zero)
+    return [
         (mean_or_zero(bce_with_logits("key_prior_logits", "key_t"), key) if p.key else zero).alias("prior_key"),
         (mean_or_zero(bce_with_logits("complete_prior_logits", "comp_t"), complete) if p.complete else zero).alias("prior_complete"),
         both(p.distill * mean_or_zero(squared_error("key_prior", "complete_prior"), key & complete)).alias("prior_distill"),
         both(mean_or_zero(squared_error("gate_mass", "fused_prior"), key & complete)).alias("prior_gate"),
-    )
-    if p.complete:
-        wanted = rows.where("complete_reconstruction_target is not null").select("batch_id", F.explode(F.arrays_zip(F.col("reconstruction").alias("a"), F.col("complete_reconstruction_target").alias("b"))).alias("d"))
-        made = wanted.groupBy("batch_id").agg(F.avg(squared_error("d.a", "d.b")).alias("prior_reconstruction"))
-        terms = terms.join(made, "batch_id", "left").na.fill({"prior_reconstruction": 0.0})
+    ]
+
+
+def reconstruction_loss(rows: DataFrame) -> DataFrame:
+    """Mean squared error over the dimensions of rows with a target, by batch."""
+    wanted = rows.where("complete_reconstruction_target is not null").select("batch_id", F.explode(F.arrays_zip(F.col("reconstruction").alias("a"), F.col("complete_reconstruction_target").alias("b"))).alias("d"))
+    return wanted.groupBy("batch_id").agg(F.avg(squared_error("d.a", "d.b")).alias("prior_reconstruction"))
+
+
+def with_prior_total(terms: DataFrame, rows: DataFrame, config: RewardConfig, phase: str) -> DataFrame:
+    """terms by batch with prior_reconstruction and prior_total."""
+    if Phase(phase).complete:
+        terms = terms.join(reconstruction_loss(rows), "batch_id", "left").na.fill({"prior_reconstruction": 0.0})
     else:
-        terms = terms.withColumn("prior_reconstruction", zero)
+        terms = terms.withColumn("prior_reconstruction", F.lit(0.0))
     total = config.key_prior_weight * F.col("prior_key") + config.complete_prior_weight * F.col("prior_complete") + config.prior_distill_weight * F.col("prior_distill") + config.gate_prior_weight * F.col("prior_gate") + config.reconstruction_weight * F.col("prior_reconstruction")
     return terms.withColumn("prior_total", total)
 
 
+def prior_losses(rows: DataFrame, tokens: DataFrame, config: RewardConfig, phase: str = "joint") -> DataFrame:
+    """The five prior terms and their total, by batch."""
+    terms = tokens.withColumn("gate_mass", normalize_attention("gates")).groupBy("batch_id").agg(*prior_terms(phase))
+    return with_prior_total(terms, rows, config, phase)
+
+
+def token_losses(tokens: DataFrame, *terms: Column) -> DataFrame:
+    return tokens.groupBy("batch_id").agg(*terms)
+
+
 def pairs(rows: DataFrame, same: str, other: str, columns: list[str]) -> DataFrame:
     """Pairs i < j of a batch that agree on one key and differ on the other.
 
@@ -107,10 +140,6 @@ def pairs(rows: DataFrame, same: str, other: str, columns: list[str]) -> DataFra
     return side("i").join(side("j"), ["batch_id", same]).where((F.col("row_index_i") < F.col("row_index_j")) & (F.col(f"{other}_i") != F.col(f"{other}_j")))
 
 
-def cosine(a: str, b: str) -> Column:
-    return dot(F.col(a), F.col(b)) / F.greatest(norm(F.col(a)) * norm(F.col(b)), F.lit(1e-12))
-
-
 def consistency_losses(rows: DataFrame, config: RewardConfig) -> DataFrame:
     """Rewrites of one question agree in representation and score, and same-styled others do not."""
     near = dot(F.col("representation_i"), F.col("representation_j"))
@@ -124,18 +153,10 @@ def consistency_losses(rows: DataFrame, config: RewardConfig) -> DataFrame:
 def losses(rows: DataFrame, tokens: DataFrame, config: RewardConfig, phase: str = "joint") -> DataFrame:
     """One row a batch: batch_id, batch_size and all METRICS; a loss that is off is 0."""
     rows = check_onsets(rows)
-    labelled = labelled_tokens(rows, tokens)
-    out = rows.groupBy("batch_id").agg(F.count("*").alias("batch_size"))
-    parts = [
-        final_loss(rows),
-        consistency_losses(rows, config),
-        localization_losses(labelled, config.negative_tail_margin),
-        mil_loss(labelled),
-        pseudo_tail_loss(labelled, config.pseudo_onset_threshold, config.negative_tail_margin),
-        progress_loss(tokens),
-        prior_losses(rows, tokens, config, phase),
-    ]
-    for part in parts:
+    seen = prepared(labelled_tokens(rows, tokens), config.pseudo_onset_threshold)
+    by_token = token_losses(seen, *localization_terms(config.negative_tail_margin), mil_term(), pseudo_tail_term(config.negative_tail_margin), progress_term(), *prior_terms(phase))
+    out = rows.groupBy("batch_id").agg(F.count("*").alias("batch_size"), final_term())
+    for part in (consistency_losses(rows, config), with_prior_total(by_token, rows, config, phase)):
         out = out.join(part, "batch_id", "left")
     out = out.na.fill(0.0)
     weight = {

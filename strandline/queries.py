@@ -16,6 +16,7 @@ from strandline.operators import batching, forward, labels, losses, selection
 from strandline.plans import views
 from strandline.plans.views import SQL, table
 from strandline.schema import METRICS, RewardConfig
+from strandline.scratch import cut
 from strandline.sources.trajectories import toy_trajectories
 
 CONFIG = RewardConfig(hidden_dim=views.DIM)
@@ -202,19 +203,27 @@ def sparse(spark, d, part: DataFrame, metric: str) -> DataFrame:
     return batches.join(part, "batch_id", "left").select("batch_id", r6(F.coalesce(metric, F.lit(0.0)), "value"))
 
 
+def of_tokens(term: Callable[[], Column]) -> Callable:
+    return lambda s, d: losses.token_losses(losses.prepared(labelled(s, d)), term())
+
+
+def of_priors(k: int) -> Callable:
+    return lambda s, d: losses.token_losses(views.tokens(s, d).withColumn("gate_mass", q.normalize_attention("gates")), losses.prior_terms()[k])
+
+
 LOSSES: dict[str, tuple[str, Callable]] = {
-    "correctness_bce": ("final", lambda s, d: losses.final_loss(views.rows(s, d))),
-    "token_bce": ("localization_token_bce", lambda s, d: losses.localization_losses(labelled(s, d), 0.5)),
-    "token_reward_mse": ("localization_token_reward", lambda s, d: losses.localization_losses(labelled(s, d), 0.5)),
-    "tail_margin": ("localization_tail_margin", lambda s, d: losses.localization_losses(labelled(s, d), 0.5)),
-    "mil_loss": ("hallucination_mil", lambda s, d: losses.mil_loss(labelled(s, d))),
-    "pseudo_tail": ("pseudo_tail", lambda s, d: losses.pseudo_tail_loss(labelled(s, d), 0.5, 0.5)),
-    "progress_mse": ("progress", lambda s, d: losses.progress_loss(views.tokens(s, d))),
-    "key_prior_bce": ("prior_key", lambda s, d: losses.prior_losses(views.rows(s, d), views.tokens(s, d), CONFIG)),
-    "complete_prior_bce": ("prior_complete", lambda s, d: losses.prior_losses(views.rows(s, d), views.tokens(s, d), CONFIG)),
-    "distill_mse": ("prior_distill", lambda s, d: losses.prior_losses(views.rows(s, d), views.tokens(s, d), CONFIG)),
-    "gate_prior_mse": ("prior_gate", lambda s, d: losses.prior_losses(views.rows(s, d), views.tokens(s, d), CONFIG)),
-    "reconstruction_mse": ("prior_reconstruction", lambda s, d: losses.prior_losses(views.rows(s, d), views.tokens(s, d), CONFIG)),
+    "correctness_bce": ("final", lambda s, d: views.rows(s, d).groupBy("batch_id").agg(losses.final_term())),
+    "token_bce": ("localization_token_bce", lambda s, d: losses.token_losses(labelled(s, d), losses.localization_terms(0.5)[0])),
+    "token_reward_mse": ("localization_token_reward", lambda s, d: losses.token_losses(labelled(s, d), losses.localization_terms(0.5)[1])),
+    "tail_margin": ("localization_tail_margin", lambda s, d: losses.token_losses(labelled(s, d), losses.localization_terms(0.5)[2])),
+    "mil_loss": ("hallucination_mil", of_tokens(losses.mil_term)),
+    "pseudo_tail": ("pseudo_tail", of_tokens(lambda: losses.pseudo_tail_term(0.5))),
+    "progress_mse": ("progress", lambda s, d: losses.token_losses(views.tokens(s, d), losses.progress_term())),
+    "key_prior_bce": ("prior_key", of_priors(0)),
+    "complete_prior_bce": ("prior_complete", of_priors(1)),
+    "distill_mse": ("prior_distill", of_priors(2)),
+    "gate_prior_mse": ("prior_gate", of_priors(3)),
+    "reconstruction_mse": ("prior_reconstruction", lambda s, d: losses.reconstruction_loss(views.rows(s, d))),
     "consistency_positive": ("consistency_positive", lambda s, d: losses.consistency_losses(views.rows(s, d), CONFIG)),
     "consistency_negative": ("consistency_negative", lambda s, d: losses.consistency_losses(views.rows(s, d), CONFIG)),
     "consistency_score": ("consistency_score", lambda s, d: losses.consistency_losses(views.rows(s, d), CONFIG)),
@@ -231,20 +240,20 @@ _add_losses()
 
 @query(all_losses_sql() + "SELECT batch_id, batch_size, " + ", ".join(f"round({m}, 6) AS {m}" for m in METRICS) + " FROM loss")
 def total_objective(spark, d):
-    out = losses.losses(views.rows(spark, d), views.tokens(spark, d), CONFIG)
+    out = losses.losses(cut(views.rows(spark, d), "rows"), views.tokens(spark, d), CONFIG)
     return out.select("batch_id", "batch_size", *[r6(m, m) for m in METRICS])
 
 
 @query(all_losses_sql() + "SELECT batch_id, round(consistency_total, 6) AS consistency_total, round(prior_total, 6) AS prior_total FROM loss")
 def consistency_total(spark, d):
-    rows = views.rows(spark, d)
+    rows = cut(views.rows(spark, d), "rows")
     prior = losses.prior_losses(rows, views.tokens(spark, d), CONFIG)
     return losses.consistency_losses(rows, CONFIG).join(prior, "batch_id").select("batch_id", r6("consistency_total", "consistency_total"), r6("prior_total", "prior_total"))
 
 
 @query(all_losses_sql() + "SELECT " + ", ".join(f"round(sum({m} * batch_size) / greatest(sum(batch_size), 1), 6) AS {m}" for m in METRICS) + " FROM loss")
 def epoch_weighted_mean(spark, d):
-    means = losses.epoch_means(losses.losses(views.rows(spark, d), views.tokens(spark, d), CONFIG))
+    means = losses.epoch_means(losses.losses(cut(views.rows(spark, d), "rows"), views.tokens(spark, d), CONFIG))
     return means.select(*[r6(m, m) for m in METRICS])
 
 
@@ -280,7 +289,6 @@ def pad_or_trim(spark, d):
 def alias_resolution(spark, d):
     """A key that is present but null shadows later names."""
     docs = table(spark, d, "documents")
-    first = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct("source"))).otherwise(F.lit("null"))
     first = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('"'), "source", F.lit('"'))).otherwise(F.lit("null"))
     second = F.concat(F.lit('"'), "lang", F.lit('"'))
     raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('{"semantic_id":'), first, F.lit(',"group_id":'), second, F.lit("}"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit('{"group_id":'), second, F.lit("}"))).otherwise(F.lit("{}"))
