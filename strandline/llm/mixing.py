@@ -20,7 +20,7 @@ from strandline.llm.common import cut, table
 SPACE = " \t\n\x0b\x0c\r"
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED = 1.5, 2.0, 17
-#: Documents of one source and size that one task ranks.
+#: Documents of one source and size that are ranked together, about.
 CELL = 1000
 
 
@@ -58,28 +58,26 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     The driver gets one row a source, as the weights are given by source. Ranks
     in a source come from a count by (source, size, salt): no task holds a whole
     source. A null source is one source; rows repeated in docs are documents of
-    their own; an empty document or source takes nothing. Columns of docs with the
+    their own; an empty document or source takes nothing, and a null size is 0. Columns of docs with the
     names of the three new ones are replaced; names that start with ``_mix`` are
     taken.
     """
     spark, docs = docs.sparkSession, docs.drop("source_size", "target", "copies")
-    per = {r["source"]: (r["n"] or 0) for r in docs.groupBy("source").agg(F.sum("size").alias("n")).collect()}
-    goal = targets(per, weights, share, cap)
-    rows = [(s, int(per[s]), float(goal[s]), goal[s] / per[s] if per[s] else 0.0, (zlib.crc32(f"{seed}:{s}".encode()) & 0xFFFF) / 0x10000) for s in per]
-    rates = spark.createDataFrame(rows, "_mix_source string, source_size long, target double, _mix_rate double, _mix_offset double")
-    heavy = docs.groupBy("source", "size").count().where(F.col("count") > CELL).select(F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), F.ceil(F.col("count") / CELL).cast("int").alias("_mix_salts"))
-    same = docs["source"].eqNullSafe(heavy["_mix_source"]) & (docs["size"] == heavy["_mix_size"])
-    salted = docs.join(heavy, same, "left").withColumn("_mix_salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("_mix_salts", F.lit(1)))).drop("_mix_source", "_mix_size", "_mix_salts")
-    before = Window.partitionBy("source").orderBy("size", "_mix_salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = salted.groupBy("source", "size", "_mix_salt").count().select(F.col("source").alias("_mix_s"), F.col("size").alias("_mix_n"), F.col("_mix_salt").alias("_mix_k"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_mix_base"))
-    within = Window.partitionBy("source", "size", "_mix_salt").orderBy("doc_id")
-    ranked = salted.withColumn("_mix_rank", F.row_number().over(within))
-    ranked = ranked.join(cells, ranked["source"].eqNullSafe(cells["_mix_s"]) & (ranked["size"] == cells["_mix_n"]) & (ranked["_mix_salt"] == cells["_mix_k"]))
+    known = docs.groupBy("source", F.coalesce("size", F.lit(0)).alias("size")).agg(F.count("*").alias("n"))
+    per = {r["source"]: r for r in known.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.max("n").alias("most")).collect()}
+    goal = targets({s: r["size"] for s, r in per.items()}, weights, share, cap)
+    rates = [(s, k, int(r["size"]), float(goal[s]), goal[s] / r["size"] if r["size"] else 0.0, (zlib.crc32(f"{seed}:{s}".encode()) & 0xFFFF) / 0x10000, -(-r["most"] // CELL)) for k, (s, r) in enumerate(per.items())]
+    # One row a source; Spark broadcasts it if it is small enough.
+    sources = spark.createDataFrame(rates, "_mix_source string, _mix_id int, source_size long, target double, _mix_rate double, _mix_offset double, _mix_salts int")
+    cell = ["_mix_id", "_mix_size", "_mix_salt"]
+    placed = docs.join(sources, docs["source"].eqNullSafe(sources["_mix_source"])).withColumns({"_mix_size": F.coalesce("size", F.lit(0)), "_mix_salt": F.pmod(F.xxhash64("doc_id"), F.col("_mix_salts"))})
+    before = Window.partitionBy("_mix_id").orderBy("_mix_size", "_mix_salt").rowsBetween(Window.unboundedPreceding, -1)
+    cells = placed.groupBy(*cell).count().select(*cell, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_mix_base"))
+    # The ranks and the join share one shuffle of the documents.
+    ranked = placed.withColumn("_mix_rank", F.row_number().over(Window.partitionBy(*cell).orderBy("doc_id"))).join(cells, cell)
     rank = F.col("_mix_rank") + F.col("_mix_base")
     crossed = F.floor(rank * F.col("_mix_rate") + F.col("_mix_offset")) - F.floor((rank - 1) * F.col("_mix_rate") + F.col("_mix_offset"))
-    out = ranked.join(rates, ranked["source"].eqNullSafe(rates["_mix_source"]))
-    out = out.withColumn("copies", F.least(crossed, F.ceil("_mix_rate")).cast("long"))
-    return out.select(*docs.columns, "source_size", "target", "copies")
+    return ranked.withColumn("copies", F.least(crossed, F.ceil("_mix_rate")).cast("long")).select(*docs.columns, "source_size", "target", "copies")
 
 
 def emit(mixed: DataFrame) -> DataFrame:
