@@ -32,26 +32,35 @@ HELD = 1 << 19
 _BITS = np.unpackbits(np.arange(256, dtype="u1")[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str, k: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of a text's k-word shingles, as an unsigned 64-bit number."""
+def shingles(text: str, k: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of a text's k-word shingles, repeats included; of all its words where they are fewer."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     if len(words) <= k:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], "<u8")
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], seed) for s, e in zip((ends - lengths).tolist(), ends[k - 1 :].tolist(), strict=False)], "<u8")
+    return np.array([digest(joined[s:e], seed) for s, e in zip((ends - lengths).tolist(), ends[k - 1 :].tolist(), strict=False)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """SimHash: the bits that more than half of the hashes have."""
     planes = hashes.view("u1").reshape(-1, 8)
     counts = np.concatenate([np.bincount(planes[:, i], minlength=256) @ _BITS for i in range(8)])
     bits = (2 * counts > len(hashes)).astype("u1")
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, k: int = SHINGLE, seed: int = SEED) -> int:
+    """SimHash of a text's k-word shingles, as an unsigned 64-bit number."""
+    return majority(shingles(text, k, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long); null and empty texts: 0."""
     small_batches(docs.sparkSession)
