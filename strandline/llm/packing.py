@@ -57,11 +57,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_str(spec)
-        self.full.encode_special_tokens = True
         rules = json.loads(spec)
+        added = rules.get("added_tokens") or []
+        #: Texts that hold one of these are encoded whole, as it may stand inside a chunk.
+        self.added = tuple(t["content"] for t in added)
         steps = [(n["type"], n.get("pattern", {}).get("Regex")) for n in (rules.get("normalizer") or {}).get("normalizers", [])]
         pre = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        self.by_chunk = steps == [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)] and [p.get("type") for p in pre] == ["Split", "ByteLevel"] and pre[0]["behavior"] == "Removed" and r"\s" in pre[0]["pattern"]["Regex"]
+        self.by_chunk = steps == [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)] and [p.get("type") for p in pre] == ["Split", "ByteLevel"] and pre[0]["behavior"] == "Removed" and r"\s" in pre[0]["pattern"]["Regex"] and not any(t["normalized"] for t in added)
         if self.by_chunk:
             self.bare = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "added_tokens": []}))
         self.known: dict[str, bytes] = {}
@@ -96,11 +98,11 @@ class Encoder:
         new: set[str] = set()
         known = self.known.get
         for t in texts:
-            if not t.isascii():
-                t = unicodedata.normalize("NFC", t).replace("Σ", "σ")
-            if any(c in t for c in self.ODD):
+            if any(c in t for c in (*self.ODD, *self.added)):
                 rows.append(None)
                 continue
+            if not t.isascii():
+                t = unicodedata.normalize("NFC", t).replace("Σ", "σ")
             chunks = t.lower().split()
             got = list(map(known, chunks))
             if None in got:

@@ -175,3 +175,16 @@ def test_licenses(spark, odd_docs, no_docs):
 def test_long_texts_differ_in_hash():
     a, b = repeats.Words([b"a b c d e"]), repeats.Words([b"a b c d f"])
     assert a.runs(np.array([0]), 4) == b.runs(np.array([0]), 4) and a.runs(np.array([1]), 4) != b.runs(np.array([1]), 4)
+
+
+def test_added_tokens_in_texts():
+    """A text that holds an added token gets the ids of the plain tokenizer."""
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    plain = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read())
+    texts = ["one <|endoftext|> two", "one<|startoftext|>two <|ENDOFTEXT|> é", "<|endoftext|>\u0338 x", "none of them, here."]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+    assert encoder.by_chunk and got == [plain.encode(t, add_special_tokens=False).ids for t in texts] and 49407 in got[0]
