@@ -3,8 +3,8 @@
 Pattern packing: the histogram of piece lengths (at most ``max_tokens`` bins,
 whatever the corpus size) is covered by repeats of few-document length patterns
 that fill a sequence exactly. Repeat counts are fitted to the histogram by
-non-negative least squares, rounded down, and what the patterns leave over is
-packed best-fit. Pieces of one length are interchangeable, so a piece finds its
+non-negative least squares and rounded; what rounding leaves over is fitted again
+while that places pieces, and the rest is packed best-fit. Pieces of one length are interchangeable, so a piece finds its
 place from its rank within its length.
 """
 
@@ -13,9 +13,11 @@ from __future__ import annotations
 import bisect
 import json
 import os
-import struct
+import re
 import unicodedata
 import zlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +28,10 @@ from pyspark.sql import functions as F
 from strandline.llm.common import cut, plus, small_batches, table
 
 MAX_TOKENS = 4096
-#: First lengths of three-document patterns lie on this grid; keeps patterns few.
-GRID = 128
-ROUNDS = 200
+#: Documents in a pattern, and draws of lengths that patterns begin with, at most.
+FEW, DRAWS = 8, 2048
+#: Sweeps of a fit; times that what rounding leaves is fitted anew, while that places this share.
+ROUNDS, STAGES, LITTLE = 12, 10, 0.02
 #: Chunks whose ids a worker remembers; bounds its memory.
 CACHE = 800_000
 
@@ -41,12 +44,20 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Fixed value: a pre-tokenizer's pattern that keeps runs of letters apart from runs of symbols.
+LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A word and the symbols after it, which that pattern encodes apart.
+_WORD_END = re.compile(r"([a-z\u00df-\u024f]+)([!-&(-/:-@\[-`{-~]+)")
+
+
 class Encoder:
     """Token ids of whole texts as little-endian uint32 bytes.
 
     A tokenizer that drops white space and never joins across it gives each
     white-space-delimited chunk the same ids wherever it stands; their ids are
-    remembered. Any other tokenizer encodes whole texts.
+    remembered. Where its pattern is ``LETTERS_APART``, a word and the symbols after
+    it are looked up apart, and words skip the pattern. Any other tokenizer encodes
+    whole texts.
     """
 
     #: White space to Python's str.split, but not to the tokenizers' patterns.
@@ -64,57 +75,60 @@ class Encoder:
         steps = [(n["type"], n.get("pattern", {}).get("Regex")) for n in (rules.get("normalizer") or {}).get("normalizers", [])]
         pre = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.by_chunk = steps == [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)] and [p.get("type") for p in pre] == ["Split", "ByteLevel"] and pre[0]["behavior"] == "Removed" and r"\s" in pre[0]["pattern"]["Regex"] and not any(t["normalized"] for t in added)
+        self.apart = self.by_chunk and pre[0]["pattern"]["Regex"] == LETTERS_APART and pre[0]["invert"] and not pre[1]["use_regex"]
         if self.by_chunk:
             self.bare = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "added_tokens": []}))
+            self.letters = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "added_tokens": [], "pre_tokenizer": pre[1]})) if self.apart else None
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of new chunks. A word before a full stop or comma is looked up alone."""
-        out, alone = {}, set()
+        """Ids of chunks that are not known, and of the parts that they were made from."""
+        parts, alone = {}, set()
         for c in chunks:
-            word = c[:-1] if c[-1] in ".," and c[:-1].isalpha() else c
-            alone.add(word)
-            if word is not c:
-                alone.add(c[-1])
-        fresh = [c for c in alone if c not in self.known]
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for c, got in zip(part, self.bare.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = got.ids
-                out[c] = struct.pack(f"<{len(ids)}I", *ids)
-        for c in chunks:
-            if c not in out:
-                word, end = c[:-1], c[-1]
-                out[c] = (self.known.get(word) or out[word]) + (self.known.get(end) or out[end]) if c not in self.known else self.known[c]
+            end = _WORD_END.fullmatch(c) if self.apart else None
+            if end:
+                parts[c] = end.groups()
+            alone.update(parts.get(c, (c,)))
+        out = {c: self.known[c] for c in alone if c in self.known}
+        # All letters, of alphabets that every version of the patterns knows.
+        words = [c for c in alone if c not in out and self.apart and c.isalpha() and max(c) < "\u0250"]
+        for tokenizer, rest in ((self.letters, words), (self.bare, list(alone.difference(out, words)))) if self.apart else ((self.bare, list(alone.difference(out))),):
+            for at in range(0, len(rest), 4096):
+                part = rest[at : at + 4096]
+                for c, got in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    ids = got.ids
+                    out[c] = array("I", ids).tobytes()
+        for c, (word, end) in parts.items():
+            out[c] = out[word] + out[end]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return [self.whole(t) for t in texts]
-        rows: list[tuple[list[str], list[bytes | None]] | None] = []
+        out: list[bytes | None] = []
+        waiting: list[tuple[int, list[str], list[bytes | None]]] = []
         new: set[str] = set()
-        known = self.known.get
-        for t in texts:
-            if any(c in t for c in (*self.ODD, *self.added)):
-                rows.append(None)
+        known, apart = self.known.get, (*self.ODD, *self.added)
+        for k, t in enumerate(texts):
+            if any(c in t for c in apart):
+                out.append(self.whole(t))
                 continue
             if not t.isascii():
                 t = unicodedata.normalize("NFC", t).replace("Σ", "σ")
             chunks = t.lower().split()
             got = list(map(known, chunks))
-            if None in got:
+            try:
+                out.append(b"".join(got))
+            except TypeError:  # a chunk is not known yet
+                out.append(None)
                 new.update(c for c, g in zip(chunks, got, strict=True) if g is None)
-            rows.append((chunks, got))
+                waiting.append((k, chunks, got))
         fresh = self.learn(list(new))
-        out = []
-        for t, row in zip(texts, rows, strict=True):
-            if row is None:
-                out.append(self.whole(t))
-            else:
-                out.append(b"".join([fresh[c] if g is None else g for c, g in zip(*row, strict=True)]))
+        for k, chunks, got in waiting:
+            out[k] = b"".join([fresh[c] if g is None else g for c, g in zip(chunks, got, strict=True)])
         if len(self.known) + len(fresh) <= CACHE:
             self.known.update(fresh)
         return out
@@ -160,38 +174,137 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_i
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES + ", ids array<int>" * keep_ids)
 
 
-def patterns(size: int, grid: int = GRID) -> np.ndarray:
-    """Patterns of one to three lengths that fill a sequence exactly; 0 is no document."""
-    one = [(size, 0, 0)]
-    two = [(a, size - a, 0) for a in range(1, size // 2 + 1)]
-    a, b = np.meshgrid(np.arange(grid, size, grid), np.arange(1, size))
-    a, b = a.ravel(), b.ravel()
-    three = np.stack([a, b, size - a - b], 1)[(size - a - b >= b)]
-    return np.concatenate([np.array(one + two), three])
-
+def patterns(hist: np.ndarray, draws: int = DRAWS, few: int = FEW, seed: int = 0) -> list[tuple[int, ...]]:
+    """Patterns of at most ``few`` lengths of the histogram that fill a sequence exactly.
 
-def fit_counts(hist: np.ndarray, pats: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Non-negative least squares: repeats x with sum over patterns close to hist.
-
-    Accelerated projected gradient; A is the incidence of lengths in patterns,
-    applied through index arrays. The step is 1 / (largest row sum bound).
+    All of one length (repeated or not) and of two; of more, those that begin with
+    drawn lengths, half of the draws by pieces and half by tokens, and end with the
+    length that is then missing, where the histogram has it. The number of patterns
+    depends on the sequence, not on the corpus.
     """
     size = len(hist) - 1
-    weight = (pats > 0).astype(float)
-    degree = np.bincount(pats.ravel(), weight.ravel(), size + 1)
-    # ||A||^2 <= max row sum * max column sum; scaling rows by 1/degree evens them out.
-    scale = 1 / np.sqrt(np.maximum(degree, 1))
-    col = (weight * scale[pats]).sum(1)
-    lipschitz = max((np.bincount(pats.ravel(), (weight * scale[pats] * col[:, None]).ravel(), size + 1) * scale).max(), 1e-9)
-    x = y = np.zeros(len(pats))
-    t = 1.0
+    have = np.flatnonzero(hist[1:]) + 1
+    on = hist > 0
+    out = {(int(v),) * (size // int(v)) for v in have if size % v == 0 and size // v <= few}
+    out |= {(size - int(v), int(v)) for v in have if 2 * v <= size and on[size - v]}
+    rng = np.random.default_rng(seed)
+    for weight in (hist[have].astype(float), hist[have].astype(float) * have):
+        if not len(have):
+            break
+        drawn = rng.choice(have, (draws // 2, few - 1), p=weight / weight.sum())
+        rest = size - np.cumsum(drawn, 1)
+        for row, k in np.argwhere((rest > 0) & on[np.maximum(rest, 0)]):
+            if k:
+                out.add(tuple(sorted((*drawn[row, : k + 1].tolist(), int(rest[row, k])), reverse=True)))
+    return sorted(out)
+
+
+def fit_counts(hist: np.ndarray, pats: list[tuple[int, ...]], rounds: int = ROUNDS) -> np.ndarray:
+    """Non-negative least squares: repeats x >= 0 least in the sum of (hist - A x) ** 2.
+
+    A says how often a length stands in a pattern. Coordinate descent: each repeat
+    in turn takes its best value given the others, so the residual never rises and
+    the repeats go to a solution.
+    """
+    left, x = hist.astype(float).tolist(), [0.0] * len(pats)
+    columns = [(k, sorted(Counter(p).items())) for k, p in enumerate(pats)]
+    columns = [(k, c, 1.0 / sum(m * m for _, m in c)) for k, c in columns]
+    least = 1e-9 * max(float(hist.sum()), 1.0)
     for _ in range(rounds):
-        rest = (hist - np.bincount(pats.ravel(), (weight * y[:, None]).ravel(), size + 1)) * scale**2
-        new = np.maximum(0, y + (weight * rest[pats]).sum(1) / lipschitz)
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y = new + (t - 1) / t2 * (new - x)
-        x, t = new, t2
-    return x
+        moved = 0.0
+        for k, column, step in columns:
+            grad = 0.0
+            for v, m in column:
+                grad += m * left[v]
+            was = x[k]
+            new = was + grad * step
+            if new < 0.0:
+                new = 0.0
+            if new != was:
+                x[k] = new
+                for v, m in column:
+                    left[v] -= m * (new - was)
+                moved = max(moved, abs(new - was))
+        if moved <= least:
+            break
+    return np.array(x)
+
+
+class _Slots:
+    """Slots given to the pieces of a histogram so far, as runs."""
+
+    def __init__(self, hist: np.ndarray):
+        self.left = hist.astype(np.int64).copy()
+        self.taken = np.zeros(len(hist), np.int64)
+        self.runs: list[tuple[int, ...]] = []
+        self.sequences = self.by_pattern = 0
+
+    def copy(self) -> _Slots:
+        out = _Slots(self.left)
+        out.taken, out.runs, out.sequences, out.by_pattern = self.taken.copy(), list(self.runs), self.sequences, self.by_pattern
+        return out
+
+    def place(self, length: int, n: int, per: int, seq: int, offset: int) -> None:
+        self.runs.append((length, self.taken[length], per, seq, offset))
+        self.taken[length] += n
+        self.left[length] -= n
+
+    def by_patterns(self, seed: int) -> int:
+        """Fit patterns to what is left, round their repeats and place them; pieces placed."""
+        before = int(self.left.sum())
+        pats = patterns(self.left, seed=seed)
+        want = np.rint(fit_counts(self.left, pats)).astype(np.int64) if pats else np.zeros(0, np.int64)
+        # Patterns with the longest pieces first: short ones are easy to place later.
+        for k in np.flatnonzero(want)[::-1]:
+            times = Counter(pats[k])
+            n = min(int(want[k]), *(int(self.left[v]) // m for v, m in times.items()))
+            if n > 0:
+                offset = 0
+                for v, m in sorted(times.items(), reverse=True):
+                    self.place(v, n * m, m, self.sequences, offset)
+                    offset += v * m
+                self.sequences += n
+        placed = before - int(self.left.sum())
+        self.by_pattern += placed
+        return placed
+
+    def best_fit(self) -> _Slots:
+        """Place all that is left, longest first, each where the least space stays."""
+        size, left = len(self.left) - 1, self.left
+        open_by: dict[int, list[tuple[int, int]]] = {}  # slack: runs of (first sequence, how many)
+        slacks: list[int] = []
+
+        def add(slack: int, seq: int, n: int) -> None:
+            if slack and n:
+                if slack not in open_by:
+                    open_by[slack] = []
+                    bisect.insort(slacks, slack)
+                open_by[slack].append((seq, n))
+
+        for length in range(size, 0, -1):
+            while left[length]:
+                at = bisect.bisect_left(slacks, length)
+                if at == len(slacks):
+                    per = size // length
+                    n = -(-int(left[length]) // per)
+                    add(size, self.sequences, n)
+                    self.sequences += n
+                    continue
+                slack = slacks[at]
+                seq, n = open_by[slack].pop()
+                if not open_by[slack]:
+                    del open_by[slack], slacks[at]
+                rest, per = int(left[length]), slack // length
+                full = min(n, rest // per)
+                if full:
+                    self.place(length, full * per, per, seq, size - slack)
+                    add(slack - per * length, seq, full)
+                elif rest:
+                    self.place(length, rest, rest, seq, size - slack)
+                    add(slack - rest * length, seq, 1)
+                    full = 1
+                add(slack, seq + full, n - full)
+        return self
 
 
 def plan(hist: np.ndarray, size: int = MAX_TOKENS) -> dict[str, np.ndarray]:
@@ -200,64 +313,22 @@ def plan(hist: np.ndarray, size: int = MAX_TOKENS) -> dict[str, np.ndarray]:
     A run says: pieces of this length with ranks from ``first`` go ``per`` to a
     sequence, the i-th to sequence ``seq + i // per`` at ``offset + i % per *
     length``. The number of runs depends on ``size``, not on the corpus.
+    ``sequences`` and ``by_pattern`` (pieces that patterns placed) are counts. What
+    rounding leaves over is fitted anew while that places more than a little; of
+    these fits as many are kept as leave the fewest sequences.
     """
-    left, taken, runs, next_seq = hist.astype(np.int64).copy(), np.zeros(size + 1, np.int64), [], 0
-
-    def place(length: int, n: int, per: int, seq: int, offset: int) -> None:
-        runs.append((length, taken[length], per, seq, offset))
-        taken[length] += n
-        left[length] -= n
-
-    if left[:size].any():
-        present = left > 0
-        present[0] = True
-        pats = patterns(size)
-        pats = pats[present[pats].all(1)]
-        want = np.floor(fit_counts(left.astype(float), pats) + 1e-6).astype(np.int64) if len(pats) else np.zeros(0, np.int64)
-        for k in np.argsort(-want, kind="stable")[: np.count_nonzero(want)]:
-            lengths = [int(v) for v in pats[k] if v]
-            n = min(int(want[k]), *(int(left[v]) // lengths.count(v) for v in set(lengths)))
-            if n > 0:
-                offset = 0
-                for v in sorted(set(lengths), reverse=True):
-                    place(v, n * lengths.count(v), lengths.count(v), next_seq, offset)
-                    offset += v * lengths.count(v)
-                next_seq += n
-    open_by: dict[int, list[tuple[int, int]]] = {}  # slack: runs of (first sequence, how many)
-    slacks: list[int] = []
-
-    def add(slack: int, seq: int, n: int) -> None:
-        if slack and n:
-            if slack not in open_by:
-                open_by[slack] = []
-                bisect.insort(slacks, slack)
-            open_by[slack].append((seq, n))
-
-    for length in range(size, 0, -1):
-        while left[length]:
-            at = bisect.bisect_left(slacks, length)
-            if at == len(slacks):
-                per = size // length
-                n = -(-int(left[length]) // per)
-                add(size, next_seq, n)
-                next_seq += n
-                continue
-            slack = slacks[at]
-            seq, n = open_by[slack].pop()
-            if not open_by[slack]:
-                del open_by[slack], slacks[at]
-            rest, per = int(left[length]), slack // length
-            full = min(n, rest // per)
-            if full:
-                place(length, full * per, per, seq, size - slack)
-                add(slack - per * length, seq, full)
-            elif rest:
-                place(length, rest, rest, seq, size - slack)
-                add(slack - rest * length, seq, 1)
-                full = 1
-            add(slack, seq + full, n - full)
-    table_ = np.array(sorted(runs), np.int64).reshape(-1, 5)
-    return dict(zip(("length", "first", "per", "seq", "offset"), table_.T.copy(), strict=True)) | {"sequences": np.array([next_seq])}
+    slots = _Slots(hist)
+    best = slots.copy().best_fit()
+    for seed in range(STAGES):
+        before = int(slots.left.sum())
+        placed = slots.by_patterns(seed)
+        packed = slots.copy().best_fit()
+        if packed.sequences <= best.sequences:
+            best = packed
+        if placed <= before * LITTLE:
+            break
+    table_ = np.array(sorted(best.runs), np.int64).reshape(-1, 5)
+    return dict(zip(("length", "first", "per", "seq", "offset"), table_.T.copy(), strict=True)) | {"sequences": np.array([best.sequences]), "by_pattern": np.array([best.by_pattern])}
 
 
 def place(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
