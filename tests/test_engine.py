@@ -363,7 +363,7 @@ def test_losses_and_phases(spark):
     p = forward.initial(CONFIG)
     by = {ph: train_plan.evaluate(rows, plan, p, CONFIG, ph).collect() for ph in ("joint", "key", "complete")}
     for j, k, c in zip(*by.values(), strict=True):
-        assert k.prior_complete == 0 == c.prior_key and j.prior_distill == pytest.approx(2 * k.prior_distill) and j.prior_gate == k.prior_gate > 0
+        assert k.prior_complete == 0 == c.prior_key and j.prior_distill == pytest.approx(2 * k.prior_distill) and j.prior_gate == pytest.approx(k.prior_gate) and k.prior_gate > 0
         assert j.consistency_positive > 0 and all(math.isfinite(j[m]) for m in METRICS)
         assert j.total == pytest.approx(j.final + j.consistency_total + j.localization_token_bce + 0.5 * j.localization_token_reward + 0.5 * j.localization_tail_margin + 0.25 * j.hallucination_mil + 0.1 * j.pseudo_tail + 0.25 * j.progress + 0.25 * j.prior_total)
     sizes = [r.batch_size for r in by["joint"]]
