@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders that go when their application ends.
+_made: set[str] = set()
+
+
 def folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where all runs on one machine (tests).
 
@@ -21,7 +25,14 @@ def folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='strandline-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/strandline-{spark.sparkContext.applicationId}"
+    path = f"{base.rstrip('/')}/strandline-{spark.sparkContext.applicationId}"
+    if path not in _made:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _made.add(path)
+    return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
