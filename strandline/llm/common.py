@@ -1,16 +1,17 @@
-"""Helpers shared by the corpus operators: scratch tables, row access, components."""
+"""Helpers shared by the corpus operators: row access, joins on hot keys, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.scratch import cut, drop
+
+__all__ = ["connected_components", "cut", "drop", "join_hot", "plus", "small_batches", "stars", "table"]
+
 #: Links that a task holds while it contracts them.
 HELD = 1 << 19
 
@@ -33,39 +34,6 @@ def plus(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='strandline-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/strandline-{spark.sparkContext.applicationId}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there.
-
-    The files outlive lost executors, and both halves of a plan that uses the
-    result twice see the same rows.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._strandline_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete what cut() wrote; only once no later plan reads it."""
-    path = getattr(df, "_strandline_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        hadoop = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(hadoop).delete(where, True)
-
-
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links with the components of a-b: each node but the smallest, to the smallest."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -98,24 +66,47 @@ def _contract(batches):
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["x", "y"])
 
 
+#: Keys that join_hot broadcasts, at most, and rows of a key that make it hot, at least.
+HOT, CELL = 10_000, 256
+
+
+def join_hot(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of values, which has each key at most once; rows without a match go.
+
+    Rows of a key above max(CELL, rows / HOT) never meet in one task: there are fewer
+    than HOT such keys, so their values are broadcast. The others are shuffled. rows
+    is read more than once and should be a table.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    limit = counts.agg(F.greatest(F.lit(float(CELL)), F.sum("_n") / HOT)).scalar()
+    hot = counts.where(F.col("_n") > limit).select(key)
+    warm = rows.join(F.broadcast(values.join(F.broadcast(hot), key, "left_semi")), key)
+    cold = rows.join(F.broadcast(hot), key, "left_anti").join(values, key)
+    return warm.unionByName(cold)
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Smallest node reachable: columns node, component, for nodes with a link.
 
     Links (longs, none null) are contracted to forests where they lie, then
     minimum labels spread with pointer jumping. Each round is a join on the
     links and a partially aggregated minimum, cut to the shared folder; the
-    driver sees only whether a label changed.
+    driver sees only whether a label changed. Hubs of many links, and labels of many
+    nodes, are hot keys of these joins and are spread over all tasks.
     """
     near = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).mapInArrow(_contract, "x long, y long").distinct(), "edges")
     both = near.union(near.select("y", "x"))
     labels = cut(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("label")), "labels")
     while True:
-        spread = both.join(labels.withColumnRenamed("x", "y"), "y").select("x", "label")
-        best = spread.union(labels).groupBy("x").agg(F.min("label").alias("near"), F.max("label").alias("most"))
+        spread = join_hot(both, labels.withColumnRenamed("x", "y"), "y").select("x", "label")
+        best = cut(spread.union(labels).groupBy("x").agg(F.min("label").alias("near"), F.max("label").alias("most")), "best")
+        # A node's label is a node, which has a label of its own.
         jump = labels.select(F.col("x").alias("near"), F.col("label").alias("far"))
-        new = cut(best.join(jump, "near", "left").select("x", F.least("near", F.coalesce("far", "near")).alias("label"), (F.col("most") > F.least("near", F.coalesce("far", "near"))).alias("moved")), "labels")
+        least = F.least("near", "far")
+        new = cut(join_hot(best, jump, "near").select("x", least.alias("label"), (F.col("most") > least).alias("moved")), "labels")
         moved = bool(new.where("moved").limit(1).count())
         drop(labels)
+        drop(best)
         labels = new
         if not moved:
             break

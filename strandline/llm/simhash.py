@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import connected_components, cut, drop, small_batches, stars, table
+from strandline.llm.common import connected_components, cut, join_hot, small_batches, stars, table
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints under one variant of a half that are compared with each other: up
@@ -223,10 +223,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) ->
     rows = cut(fingerprints(docs, k=k), "fps")
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     found = connected_components(links(nodes.select("fp"), radius), "a", "b")
-    member = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    member = cut(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "members")
     lowest = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = member.join(lowest, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = cut(join_hot(member, lowest, "root").select("fp", "component_id"), "components")
+    return join_hot(rows, by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
