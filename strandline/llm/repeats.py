@@ -2,18 +2,20 @@
 
 Difference-cover anchors: a cover of the residues modulo a period holds, for any
 two places, an offset below the period at which both lie on the cover. Short
-windows (window - period + 1 words) are hashed only at positions on the cover;
-two equal long windows always share such an anchor at the same offset. Anchors
-that repeat are few. Windows around them are extended to full length, hashed
-with 96 bits, and those that repeat are removed.
-
-The anchors that repeat reach the documents as a bit sketch of bounded size. What
-the sketch lets through too much is sorted out by the exact count of windows, so
-its size bears on speed alone.
+runs (window - period + 1 words) are hashed only at positions on the cover; two
+equal long windows always share such an anchor at the same offset. Anchors that
+repeat go back to their documents; windows around them are extended to full
+length, hashed, and those that repeat are removed.
+
+Both times the hashes meet in buckets by value, so no table of them is held
+anywhere. Words are told apart by 128 bits of XXH3, runs by 93 bits: three
+polynomials over prime fields, for which no text is known that brings two
+different runs together.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 
@@ -22,51 +24,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut, drop, small_batches, table
+from strandline.llm.common import small_batches, table
 
 WINDOW, PERIOD = 35, 21
 #: A difference cover of the residues modulo 21.
 COVER = (0, 1, 4, 14, 16)
-#: Sketch bits for each repeated anchor, and at most.
-BITS_EACH, BITS_MOST = 16, 29
 #: Text bytes that one step of a task works on.
 STEP = 4 << 20
-#: Windows in a bucket of hashes, about.
+#: Windows in a bucket of hashes, at most about.
 BUCKET = 2_000_000
 
-_BYTE_BASE, _WORD_BASES = 0x9E3779B97F4A7C15, (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+#: Primes below 2**31, and a base for each.
+_PRIMES, _BASES = (2147483647, 2147483629, 2147483587), (1103515245, 1220703125, 1812433253)
+#: Different words that a worker remembers the hashes of.
+CACHE = 400_000
 
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit values (the finaliser of splitmix64)."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_BYTE = mix64(np.arange(1, 257, dtype="u8") * np.uint64(_BYTE_BASE))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[int, np.ndarray] = {}
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, remembered."""
-    had = _powers.get(base)
-    if had is None or len(had) < n:
-        had = np.full(max(n, 1 << 16), base, "u8")
-        had[0] = 1
-        had = _powers[base] = np.multiply.accumulate(had)
+def powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo a prime below 2**31, remembered."""
+    had = _powers.get((base, prime), np.ones(1, "u8"))
+    while len(had) < n:
+        had = np.concatenate([had, had * np.uint64(pow(base, len(had), prime)) % np.uint64(prime)])
+    _powers[base, prime] = had
     return had[:n]
 
 
+class _Numbers(dict):
+    """A number for each different word, and 128 bits of XXH3 for each number."""
+
+    def __init__(self):
+        import xxhash
+
+        self.digest, self.data, self.table = xxhash.xxh3_128_digest, bytearray(), np.zeros((0, 2), "<u8")
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.data += self.digest(word)
+        return n
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > CACHE:
+            self.clear()
+            self.data, self.table = bytearray(), self.table[:0]
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if len(self.table) < len(self):
+            self.table = np.frombuffer(bytes(self.data), "<u8").reshape(-1, 2)
+        return self.table[at]
+
+
+_numbers = None
+
+
 class Words:
     """Words of some texts: where they stand, and hashes of any run of them."""
 
     def __init__(self, texts: list[bytes]):
-        raw = np.frombuffer(b"\n".join(texts) + b"\n", "u1")
+        self.joined = b"\n".join(texts) + b"\n"
+        raw = np.frombuffer(self.joined, "u1")
         space = _SPACE[raw]
         edge = np.flatnonzero(np.diff(space, prepend=True))
         self.raw, self.starts, self.ends = raw, edge[0::2], edge[1::2]
@@ -76,20 +94,35 @@ class Words:
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
         #: Place of each word in its text.
         self.place = np.arange(len(self.starts)) - self.first[self.text]
-        left = self.first[self.text + 1] - self.first[self.text] - self.place
         #: Words from each word to the end of its text, itself included.
-        self.left = left
-        sums = np.zeros(len(raw) + 1, "u8")
-        np.cumsum(_BYTE[raw] * powers(_BYTE_BASE, len(raw)), out=sums[1:])
-        back = powers(pow(_BYTE_BASE, -1, 1 << 64), len(raw))
-        self.hash = mix64((sums[self.ends] - sums[self.starts]) * back[self.starts] + (self.ends - self.starts).astype("u8"))
+        self.left = self.first[self.text + 1] - self.first[self.text] - self.place
+
+    @functools.cached_property
+    def wide(self) -> np.ndarray:
+        """128 bits for each word: equal for equal words, and else for none that are likely ever met."""
+        global _numbers
+        _numbers = _numbers if _numbers is not None else _Numbers()
+        return _numbers.hashes(self.joined.split())
+
+    @property
+    def hash(self) -> np.ndarray:
+        return self.wide[:, 0]
 
     def runs(self, at: np.ndarray, n: int, which: int = 0) -> np.ndarray:
-        """Hashes of the n words from each of the words at."""
-        base = _WORD_BASES[which]
-        sums = np.zeros(len(self.hash) + 1, "u8")
-        np.cumsum(self.hash * powers(base, len(self.hash)), out=sums[1:])
-        return mix64((sums[at + n] - sums[at]) * powers(pow(base, -1, 1 << 64), len(self.hash) + 1)[at]).view("i8")
+        """Hashes of the n words from each of the words at: 62 bits (0) or 31 others (1).
+
+        Polynomials over three prime fields, each over its own bits of the words' hashes.
+        """
+        out = np.zeros(len(at), "u8")
+        for k in ((0, 1), (2,))[which]:
+            prime = np.uint64(_PRIMES[k])
+            word = (self.wide[:, k // 2] >> np.uint64(31 * (k % 2))) & np.uint64(0x7FFFFFFF)
+            # A step's words are fewer than 2**32, so sums of terms below 2**31 stay exact.
+            sums = np.zeros(len(word) + 1, "u8")
+            np.cumsum(word % prime * powers(_BASES[k], _PRIMES[k], len(word)) % prime, out=sums[1:])
+            back = powers(pow(_BASES[k], -1, _PRIMES[k]), _PRIMES[k], len(word) + 1)
+            out = out << np.uint64(31) | (sums[at + n] - sums[at]) % prime * back[at] % prime
+        return out.view("i8")
 
 
 def _steps(batches):
@@ -109,65 +142,30 @@ def _anchors(words: Words, width: int, period: int, cover) -> np.ndarray:
     return np.flatnonzero(on[words.place % period] & (words.left >= width))
 
 
-def _bits(h: np.ndarray, log2: int) -> tuple[np.ndarray, np.ndarray]:
-    h = h.view("u8")
-    return h >> np.uint64(64 - log2), (h >> np.uint64(34 - min(log2, 34))) & np.uint64((1 << log2) - 1)
-
-
-def sketch(hashes: DataFrame, bits_each: int = BITS_EACH, bits_most: int = BITS_MOST) -> np.ndarray:
-    """A bit sketch of the column h: two bits for each value, at most 2**bits_most bits.
-
-    The driver holds the sketch, never the values.
-    """
-    n = hashes.count()
-    log2 = min(bits_most, max(16, (max(n, 1) * bits_each).bit_length()))
-
-    def run(batches):
-        for batch in batches:
-            bit = np.concatenate(_bits(batch.column(0).to_numpy(zero_copy_only=False), log2))
-            yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(6)).astype("i8")), pa.array((np.uint64(1) << (bit & np.uint64(63))).view("i8"))], names=["word", "mask"])
-
-    found = hashes.mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out = np.zeros(1 << (log2 - 6), "u8")
-    out[found.column("word").to_numpy()] = found.column("mask").to_numpy().view("u8")
-    return out
-
-
-def _in_sketch(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(h), bool)
-    for bit in _bits(h, len(bits).bit_length() + 5):
-        ok &= (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-    return ok
-
-
-def _candidates(words: Words, bits: np.ndarray, window: int, period: int, cover) -> np.ndarray:
-    """First words of the full windows that hold an anchor of the sketch."""
-    width = window - period + 1
-    anchors = _anchors(words, width, period, cover)
-    hit = anchors[_in_sketch(words.runs(anchors, width), bits)]
-    # Windows from hit - period + 1 to hit hold the anchor.
+def _around(words: Words, anchors: np.ndarray, window: int, period: int) -> np.ndarray:
+    """First words of the full windows that hold an anchor, which lies below period words in."""
     n = len(words.starts)
     rise = np.zeros(n + 1, np.int32)
-    np.add.at(rise, np.maximum(hit - period + 1, words.first[words.text[hit]]), 1)
-    np.add.at(rise, hit + 1, -1)
+    np.add.at(rise, np.maximum(anchors - period + 1, words.first[words.text[anchors]]), 1)
+    np.add.at(rise, anchors + 1, -1)
     return np.flatnonzero((np.cumsum(rise[:n]) > 0) & (words.left >= window))
 
 
-def _pack(h1, h2, single, doc, place, key1, key2, null) -> bytes:
-    """Windows in order of their documents as bytes: hashes plain, places squeezed."""
+def _pack(h1, h2, single, doc, place, key1, key2) -> bytes:
+    """Runs in order of their documents as bytes: hashes plain, places squeezed."""
     used, at = np.unique(doc, return_inverse=True)
-    rest = zlib.compress(b"".join([single.astype("u1").tobytes(), at.astype("<i4").tobytes(), place.astype("<i4").tobytes(), null[used].astype("u1").tobytes(), key1[used].tobytes(), key2[used].tobytes()]), 1)
+    rest = zlib.compress(b"".join([single.astype("u1").tobytes(), at.astype("<i4").tobytes(), place.astype("<i4").tobytes(), key1[used].tobytes(), key2[used].tobytes()]), 1)
     return struct.pack("<ii", len(h1), len(used)) + h1.tobytes() + h2.tobytes() + rest
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
-    """h1, h2, single, key1, key2, whether key1 is null, and place of each window."""
+    """h1, h2, single, key1, key2 and place of each run."""
     n, d = struct.unpack_from("<ii", data)
     h1, h2 = np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<i4", n, 8 + 8 * n)
     rest = zlib.decompress(data[8 + 12 * n :])
-    single, at, place, null = np.frombuffer(rest, "u1", n), np.frombuffer(rest, "<i4", n, n), np.frombuffer(rest, "<i4", n, 5 * n), np.frombuffer(rest, "u1", d, 9 * n)
-    key1, key2 = np.frombuffer(rest, "<i8", d, 9 * n + d), np.frombuffer(rest, "<i8", d, 9 * n + 9 * d)
-    return [h1, h2, single, key1[at], key2[at], null[at], place]
+    single, at, place = np.frombuffer(rest, "u1", n), np.frombuffer(rest, "<i4", n, n), np.frombuffer(rest, "<i4", n, 5 * n)
+    key1, key2 = np.frombuffer(rest, "<i8", d, 9 * n), np.frombuffer(rest, "<i8", d, 9 * n + 8 * d)
+    return [h1, h2, single, key1[at], key2[at], place]
 
 
 def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,44 +179,41 @@ def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _FOUND = pa.schema([("key1", pa.int64()), ("key2", pa.int64()), ("ranges", pa.binary()), ("places", pa.binary())])
+FOUND = "key1 long, key2 long, ranges binary, places binary"
 
 
-def repeated_windows(keyed: DataFrame, window: int = WINDOW, period: int = PERIOD, cover=COVER) -> DataFrame:
-    """key1, key2, ranges, places: windows whose words also start somewhere else.
+def _marked(n: int, ranges, places) -> np.ndarray:
+    """Which of a text's n words the found ranges and places name."""
+    out = np.zeros(n, bool)
+    for data in ranges or []:
+        for first, end in np.frombuffer(data, "<i4").reshape(-1, 2).tolist():
+            out[first:end] = True
+    for data in places or []:
+        out[np.frombuffer(data, "<i4")] = True
+    return out
 
-    keyed: key1, key2 (longs), text; a text is known by its keys. ranges holds
-    pairs (first, end) and places single windows, as little-endian ints; either
-    may be null, a key has many rows, and windows may come more than once.
+
+def repeated_runs(texts: DataFrame, width: int, among, buckets: int) -> DataFrame:
+    """FOUND: runs of ``width`` words, of those asked about, that are also asked about elsewhere.
+
+    texts: key1, key2 (longs; a text is known by them), more columns, text. ``among``
+    gives from Words and the lists of the columns between the first words of the runs
+    asked about. ranges holds pairs (first, end) of first words and places single
+    ones, as little-endian ints; either may be null, a key has many rows, and runs
+    may come more than once.
     """
-    spark = keyed.sparkSession
-    if not 1 <= period < window:
-        raise ValueError("period must be below window")
-    width = window - period + 1
 
-    def emit_anchors(batches):
-        for _, texts in _steps(batches):
-            words = Words(texts)
-            h, n = np.unique(words.runs(_anchors(words, width, period, cover), width), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype("i8"))], names=["h", "n"])
-
-    anchors = keyed.select("text").mapInArrow(emit_anchors, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    often = cut(anchors.where("n > 1"), "anchors")
-    bits = spark.sparkContext.broadcast(sketch(often.select("h")))
-    # Windows that hold a repeated anchor are at most period for each; a bucket is to hold BUCKET.
-    buckets = max(96, int((often.agg(F.sum("n")).first()[0] or 0) * period / len(cover) / BUCKET))
-    drop(often)
-
-    def emit_windows(batches):
-        """For each bucket of hashes one row with a step's windows, each hash once.
-
-        Windows that repeat within the step are known to; they go out as ranges.
-        So a passage that a third of all documents share comes once a step to the
-        task that counts it.
+    def emit(batches):
+        """For each bucket of hashes one row with a step's runs, each hash once.
+
+        Runs that repeat within the step are known to; they go out as ranges. So a
+        passage that a third of all documents share comes once a step to the task
+        that counts it.
         """
         for keys, texts in _steps(batches):
             words = Words(texts)
-            at = _candidates(words, bits.value, window, period, cover)
-            h1, h2 = words.runs(at, window, 0), words.runs(at, window, 1).astype("i4")
+            at = among(words, [c.to_pylist() for c in keys[2:]])
+            h1, h2 = words.runs(at, width, 0), words.runs(at, width, 1).astype("i4")
             order, first, last = _groups(h1, h2)
             twice = np.zeros(len(at), bool)
             twice[order] = ~(first & last)
@@ -227,34 +222,33 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, period: int = PERIO
             run = np.concatenate([np.ones(1, bool)[: len(w)], (np.diff(w) > 1) | (np.diff(words.text[w]) > 0)])
             start = w[run]
             pair = np.stack([words.place[start], words.place[start] + np.diff(np.append(np.flatnonzero(run), len(w)))], 1).astype("<i4")
-            key1, key2 = (k.fill_null(0).to_numpy(zero_copy_only=False).astype("i8") for k in keys)
-            null = keys[0].is_null().to_numpy(zero_copy_only=False)
+            key1, key2 = (k.to_numpy(zero_copy_only=False).astype("i8") for k in keys[:2])
             for part in np.split(np.arange(len(start)), np.flatnonzero(np.diff(words.text[start])) + 1) if len(start) else []:
                 doc = words.text[start[part[0]]]
-                out.append(((int(key1[doc]) ^ int(key2[doc])) % buckets, None if null[doc] else int(key1[doc]), int(key2[doc]), pair[part].tobytes(), None))
+                out.append(((int(key1[doc]) ^ int(key2[doc])) % buckets, int(key1[doc]), int(key2[doc]), pair[part].tobytes(), None))
             kept = np.sort(order[first])
             to = (h1[kept].view("u8") >> np.uint64(20)) % np.uint64(buckets)
             by = np.argsort(to, kind="stable")
             for part in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(kept) else []:
                 k = kept[part]
-                out.append((int(to[part[0]]), None, None, None, _pack(h1[k], h2[k], ~twice[k], words.text[at[k]], words.place[at[k]], key1, key2, null)))
+                out.append((int(to[part[0]]), None, None, None, _pack(h1[k], h2[k], ~twice[k], words.text[at[k]], words.place[at[k]], key1, key2)))
             cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "key1", "key2", "ranges", "windows"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "key1", "key2", "ranges", "runs"])
 
     def count(parts):
-        """Rows for the windows of a bucket that came from two steps; they are single in theirs."""
-        h1, h2, single, key1, key2, null, place = (np.concatenate(c) for c in zip(*map(_unpack, parts), strict=True))
+        """Rows for the runs of a bucket that came from two steps; they are single in theirs."""
+        h1, h2, single, key1, key2, place = (np.concatenate(c) for c in zip(*map(_unpack, parts), strict=True))
         order, first, last = _groups(h1, h2)
         found = order[~(first & last) & (single[order] == 1)]
-        by, first, _ = _groups(null[found], key1[found], key2[found])
+        by, first, _ = _groups(key1[found], key2[found])
         found = found[by]
         ends = np.flatnonzero(first)
         lead = found[ends]
-        cols = [pa.array(key1[lead], mask=null[lead].astype(bool)), pa.array(key2[lead]), pa.nulls(len(lead), pa.binary()), pa.array([x.tobytes() for x in np.split(place[found].astype("<i4"), ends[1:])][: len(lead)], pa.binary())]
+        cols = [pa.array(key1[lead]), pa.array(key2[lead]), pa.nulls(len(lead), pa.binary()), pa.array([x.tobytes() for x in np.split(place[found].astype("<i4"), ends[1:])][: len(lead)], pa.binary())]
         return pa.RecordBatch.from_arrays(cols, schema=_FOUND)
 
     def meet(batches):
-        """Rows sorted by bucket: one bucket's windows at a time."""
+        """Rows sorted by bucket: one bucket's runs at a time."""
         held, bucket = [], None
         for batch in batches:
             ranges = batch.filter(batch.column(3).is_valid())
@@ -269,8 +263,41 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, period: int = PERIO
         if held:
             yield count(held)
 
-    sent = keyed.select("key1", "key2", "text").mapInArrow(emit_windows, "bucket int, key1 long, key2 long, ranges binary, windows binary")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key1 long, key2 long, ranges binary, places binary")
+    sent = texts.mapInArrow(emit, "bucket int, key1 long, key2 long, ranges binary, runs binary")
+    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, FOUND)
+
+
+def _with(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """key1, key2, ranges, places, text of every row of texts, in lists (or null) by its key.
+
+    All joins of a plan that goes through here share one shuffle of the texts.
+    """
+    by = found.groupBy("key1", "key2").agg(F.collect_list("ranges").alias("ranges"), F.collect_list("places").alias("places"))
+    return texts.join(by, ["key1", "key2"], "left").select("key1", "key2", "ranges", "places", "text")
+
+
+def repeated_windows(keyed: DataFrame, window: int = WINDOW, period: int = PERIOD, cover=COVER) -> DataFrame:
+    """FOUND: windows whose words also start somewhere else.
+
+    keyed: key1, key2 (longs, not null), text; a text is known by its keys.
+    """
+    if not 1 <= period < window:
+        raise ValueError("period must be below window")
+    width = window - period + 1
+    # Words have two bytes at least, the space after them included.
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(96, int(size / 6 / BUCKET))
+
+    def at_cover(words, _):
+        return _anchors(words, width, period, cover)
+
+    def around(words, marks):
+        n = np.diff(words.first)
+        hit = np.concatenate([np.zeros(0, bool), *(_marked(n[k], *m) for k, m in enumerate(zip(*marks, strict=True)))])
+        return _around(words, np.flatnonzero(hit), window, period)
+
+    anchors = repeated_runs(keyed, width, at_cover, buckets)
+    return repeated_runs(_with(keyed, anchors), window, around, buckets)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, period: int = PERIOD, cover=COVER) -> DataFrame:
@@ -279,30 +306,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Every word that lies in a window of ``window`` words whose sequence starts
     anywhere else, in the same document or another, goes; windows are judged on
     the input. Null texts have no words. A row that is repeated repeats its
-    windows.
+    windows. Rows are known by doc_id and a hash of the text; a null doc_id counts
+    as the least long.
     """
     small_batches(docs.sparkSession)
-    keyed = docs.select(F.col(id_col).cast("long").alias("key1"), F.xxhash64(text_col).alias("key2"), F.col(text_col).alias("text"))
-    found = repeated_windows(keyed, window, period, cover).groupBy("key1", "key2").agg(F.collect_list("ranges").alias("ranges"), F.collect_list("places").alias("places"))
-    found = found.withColumnsRenamed({"key1": "_key1", "key2": "_key2"})
-    joined = keyed.join(found, keyed["key1"].eqNullSafe(found["_key1"]) & (keyed["key2"] == found["_key2"]), "left").select("key1", "ranges", "places", "text")
+    least = F.lit(-(1 << 63))
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), least).alias("key1"), F.xxhash64(text_col).alias("key2"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    joined = _with(keyed, repeated_windows(keyed, window, period, cover))
 
     def run(batches):
-        for (ids, ranges, places), texts in _steps(batches):
+        for (ids, _, ranges, places), texts in _steps(batches):
             n_words, n_removed, kept = [], [], []
             for text, pairs, singles in zip(texts, ranges.to_pylist(), places.to_pylist(), strict=True):
                 words = text.split()
                 n_words.append(len(words))
-                starts = np.zeros(len(words), np.int32)
-                for data in pairs or []:
-                    for first, end in np.frombuffer(data, "<i4").reshape(-1, 2).tolist():
-                        starts[first:end] = 1
-                for data in singles or []:
-                    starts[np.frombuffer(data, "<i4")] = 1
+                starts = _marked(len(words), pairs, singles)
                 if starts.any():
                     # A word is covered if a window starts at it or at one of the window - 1 before.
                     total = np.cumsum(starts)
-                    gone = total > np.concatenate([np.zeros(window, np.int32), total])[: len(words)]
+                    gone = total > np.concatenate([np.zeros(window, np.int64), total])[: len(words)]
                     n_removed.append(int(gone.sum()))
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 else:
@@ -310,7 +332,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    out = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return out.withColumn("doc_id", F.nullif("doc_id", least))
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,11 +37,17 @@ def test_repeats(spark, odd_docs, window, period, cover):
     assert sum(r[2] for r in want) > 1000
 
 
-def test_repeats_small_sketch(spark, odd_docs, monkeypatch):
-    """A sketch too small to tell anything apart changes nothing but speed."""
-    want = sorted(map(str, repeats.remove_repeats(odd_docs).collect()))
-    monkeypatch.setattr(repeats, "sketch", lambda h: np.full(1 << 10, (1 << 64) - 1, "u8"))
-    assert sorted(map(str, repeats.remove_repeats(odd_docs).collect())) == want
+def test_repeats_of_words_that_polynomials_confuse(spark):
+    """A Thue-Morse word and its complement have one hash under any polynomial modulo 2**64."""
+    tm = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    rest = [f"w{k}" for k in range(34)]
+    docs = spark.createDataFrame([(1, " ".join([tm, *rest])), (2, " ".join([tm.translate({97: "b", 98: "a"}), *rest]))], "doc_id long, text string")
+    assert [r.n_removed for r in repeats.remove_repeats(docs).collect()] == [0, 0]
+    # The same at the level of words: 32 words in either order of two.
+    one = [("x", "y")[k.bit_count() % 2] for k in range(32)]
+    two = [("y", "x")[k.bit_count() % 2] for k in range(32)]
+    docs = spark.createDataFrame([(1, " ".join([*one, "q", "r", "s"])), (2, " ".join([*two, "q", "r", "s"]))], "doc_id long, text string")
+    assert [r.n_removed for r in repeats.remove_repeats(docs).collect()] == [0, 0]
 
 
 def test_repeats_empty(no_docs):
