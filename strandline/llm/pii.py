@@ -4,11 +4,13 @@ Candidates are the strict matches and looser ones (numbers without a country
 code, spelt-out addresses, social security numbers, account numbers). Labelers
 vote on each: its exact shape, checksums and known endings, a gazetteer of words
 that announce such data, the characters around it, and how regular it is.
-Expectation-maximisation over the counts of vote patterns estimates how reliable
-each labeler is and how likely each pattern is right; those soft labels train the
-final span classifier, a logistic model over the votes. Rows never leave the JVM:
-the driver sees counts of vote patterns, of which there are at most a few
-thousand whatever the corpus.
+Expectation-maximisation over the counts of vote patterns, over all kinds and then
+for each kind, estimates how reliable each labeler is and how likely each pattern
+is right; a labeler that abstains (0) says nothing. Those soft labels train the
+final span classifier, a logistic model that sees the kind and what no labeler looked
+at: the span's length, its characters, and the word before it. Its odds and those of
+the votes make the score. Rows never leave the JVM: the driver sees counts of cells
+of these, of which there are at most 280,000 whatever the corpus.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import spans as S
-from strandline.llm.common import table
+from strandline.llm.common import cut, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "iban")
@@ -46,6 +48,10 @@ GAZETTEER = "account bank call card cell contact email e-mail fax host iban ip m
 ENDINGS = "biz co com de edu es eu fr gov info int io mil net org uk us".split()
 
 LABELERS = ("shape", "check", "gazetteer", "context", "regular")
+#: Values of each feature: length, characters, hash of the word before.
+FEATURES = (4, 3, 16)
+#: Votes of each labeler that its reliability over all kinds counts for in that of one kind.
+PRIOR = 20.0
 
 
 def luhn(digits: Column) -> Column:
@@ -83,7 +89,7 @@ def votes(span: Column) -> list[Column]:
     shape = F.when(span["base"], 1).otherwise(0)
     check = (
         F.when(kind == "card", F.when(F.length(d) > 0, 1))
-        .when(kind == "email", F.when(F.lower(F.regexp_extract(text, r"([A-Za-z0-9]+)\)?\]?$", 1)).isin(ENDINGS), 1).otherwise(0))
+        .when(kind == "email", F.when(F.lower(F.regexp_extract(text, r"([A-Za-z0-9]+)\)?\]?$", 1)).isin(ENDINGS), 1).otherwise(-1))
         .when(kind == "ip", F.when(text.rlike(r"^(?:0|127|255)\."), -1).otherwise(1))
         .when(kind == "phone", F.when(n.between(10, 13), 1).otherwise(-1))
         .when(kind == "ssn", F.when(text.rlike("^(?:000|666|9)|-00-|-0000$"), -1).otherwise(1))
@@ -93,7 +99,7 @@ def votes(span: Column) -> list[Column]:
     around = F.when(left.rlike(r"[:=]\s*[\"'(]?$"), 1).when(left.rlike(r"[A-Za-z0-9_/]$") | right.rlike("^[A-Za-z0-9_/]"), -1).otherwise(0)
     kinds = F.size(F.array_distinct(F.split(d, "")))
     regular = F.when(n == 0, 0).when(kinds <= 2, -1).when(kinds >= 4, 1).otherwise(0)
-    return [F.coalesce(v, F.lit(0)).cast("int") for v in (shape, check, F.when(known, 1).otherwise(0), around, regular)]
+    return [F.coalesce(v, F.lit(0)).cast("int") for v in (shape, check, F.when(known, 1).otherwise(-1), around, regular)]
 
 
 def candidates(text: Column) -> tuple[Column, Column]:
@@ -107,44 +113,62 @@ def candidates(text: Column) -> tuple[Column, Column]:
     return base, loose
 
 
+def features(span: Column) -> list[Column]:
+    """FEATURES of a span of SPAN, from 0: none of them is a vote."""
+    n = F.length(span["text"])
+    length = F.when(n < 12, 0).when(n < 16, 1).when(n < 20, 2).otherwise(3)
+    chars = F.when(span["text"].rlike("[A-Za-z]"), 2).when(span["text"].rlike("^[0-9]+$"), 0).otherwise(1)
+    word = F.regexp_extract(F.lower(span["left"]), r"([a-z]+)[^a-z]*$", 1)
+    return [length, chars, F.pmod(F.xxhash64(word), F.lit(FEATURES[2])).cast("int")]
+
+
 def _voted(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with _base and _loose, each span with its votes."""
+    """docs with _base and _loose, each span with its votes and features."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base, loose = candidates(text)
     found = docs.withColumn("_found", F.struct(base.alias("base"), loose.alias("loose")))
-    vote = lambda b: lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.array(*votes(F.struct(*[s[f].alias(f) for f in ("kind", "text", "left", "right")], F.lit(b).alias("base")))).alias("votes"))
+
+    def vote(is_base):
+        told = lambda s: F.struct(*[s[f].alias(f) for f in ("kind", "text", "left", "right")], F.lit(is_base).alias("base"))
+        return lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.array(*votes(told(s))).alias("votes"), F.array(*features(s)).alias("features"))
+
     return found.withColumns({"_base": F.transform("_found.base", vote(True)), "_loose": F.transform(S.outside(F.col("_found.loose"), F.col("_found.base")), vote(False))}).drop("_found")
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50, prior: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of each vote pattern, and P(vote | class) by class, labeler and vote.
 
-    Two classes; labelers vote independently given the class. Starts from the
-    mean vote, so the class that labelers speak for is the one found.
+    Two classes; labelers vote independently given the class. Starts from ``prior``
+    (shares that count as PRIOR spans of each class), or else from the mean vote, so
+    the class that labelers speak for is the one found.
     """
-    post = 1 / (1 + np.exp(-2 * patterns.mean(1) * patterns.shape[1]))
-    share = np.full((2, patterns.shape[1], 3), 1 / 3)
+    at = np.arange(patterns.shape[1])
+    pseudo = np.full((2, patterns.shape[1], 3), 0.5) if prior is None else PRIOR * prior + 0.5
+
+    def posterior(share, total):
+        logs = [np.log(total[c] + 1) + np.log(share[c, at, patterns + 1]).sum(1) for c in (0, 1)]
+        return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
+
+    post = 1 / (1 + np.exp(-2 * patterns.mean(1) * patterns.shape[1])) if prior is None else posterior(prior, np.zeros(2))
     for _ in range(rounds):
-        total = np.array([(counts * (1 - post)).sum(), (counts * post).sum()])
-        for v in (-1, 0, 1):
+        share = pseudo.copy()
+        for v in (-1, 1):
             hit = patterns == v
-            share[0, :, v + 1] = ((counts * (1 - post))[:, None] * hit).sum(0) + 0.5
-            share[1, :, v + 1] = ((counts * post)[:, None] * hit).sum(0) + 0.5
-        share /= share.sum(2, keepdims=True)
-        prior = np.log(total + 1)
-        at = np.arange(patterns.shape[1])
-        logs = [prior[c] + np.log(share[c, at, patterns + 1]).sum(1) for c in (0, 1)]
-        post = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
+            share[0, :, v + 1] += ((counts * (1 - post))[:, None] * hit).sum(0)
+            share[1, :, v + 1] += ((counts * post)[:, None] * hit).sum(0)
+        share /= share[:, :, ::2].sum(2, keepdims=True)
+        share[:, :, 1] = 1
+        post = posterior(share, np.array([(counts * (1 - post)).sum(), (counts * post).sum()]))
     return post, share
 
 
-def train(patterns: np.ndarray, post: np.ndarray, counts: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Weights (votes, then the intercept) of a logistic model fitted to soft labels."""
-    x = np.hstack([patterns, np.ones((len(patterns), 1))]).astype(float)
+def train(x: np.ndarray, post: np.ndarray, counts: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Weights (columns of x, then the intercept) of a logistic model fitted to soft labels."""
+    x = np.hstack([x, np.ones((len(x), 1))]).astype(float)
     w = np.zeros(x.shape[1])
     weight = counts / max(counts.sum(), 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-x @ w))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         grad = x.T @ (weight * (p - post)) + 1e-3 * w
         hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
@@ -154,34 +178,76 @@ def train(patterns: np.ndarray, post: np.ndarray, counts: np.ndarray, rounds: in
     return w
 
 
-def learn(voted: DataFrame) -> np.ndarray:
-    """Classifier weights from counts of vote patterns; zeros where nothing was found."""
-    rows = voted.select(F.explode(F.concat(F.transform("_base", lambda s: s["votes"]), F.transform("_loose", lambda s: s["votes"]))).alias("votes")).groupBy("votes").count().orderBy("votes").collect()
+def design(kinds: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Rows of the classifier: one column for each kind and each value of each feature."""
+    return np.hstack([np.eye(n)[np.asarray(v, int)] for n, v in zip((len(KINDS), *FEATURES), (kinds, *marks.T), strict=True)])
+
+
+def odds(kinds: np.ndarray, votes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Log odds that a vote speaks for, by kind, labeler and vote: over all kinds, then of each."""
+    out = np.zeros((len(KINDS), len(LABELERS), 3))
+    _, pooled = expectation_maximisation(votes, counts)
+    for k in np.unique(kinds):
+        patterns, at = np.unique(votes[kinds == k], axis=0, return_inverse=True)
+        _, share = expectation_maximisation(patterns, np.bincount(at.ravel(), counts[kinds == k], len(patterns)), prior=pooled)
+        out[k] = np.log(share[1] / share[0])
+    return out
+
+
+def said(table_: np.ndarray, kinds: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    """Log odds of some cells from the table of odds()."""
+    return table_[kinds[:, None], np.arange(len(LABELERS)), votes + 1].sum(1)
+
+
+def fit(kinds: np.ndarray, votes: np.ndarray, marks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The table of odds and the classifier's weights. Soft labels take both classes as equally frequent."""
+    table_ = odds(kinds, votes, counts)
+    return table_, train(design(kinds, marks), 1 / (1 + np.exp(-said(table_, kinds, votes))), counts)
+
+
+def learn(voted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """fit() from counts of cells; zeros where nothing was found."""
+    cell = lambda s: F.struct(s["kind"].alias("kind"), s["votes"].alias("votes"), s["features"].alias("features"))
+    rows = voted.select(F.explode(F.concat(F.transform("_base", cell), F.transform("_loose", cell))).alias("cell")).groupBy("cell").count().orderBy("cell").collect()
     if not rows:
-        return np.zeros(len(LABELERS) + 1)
-    patterns, counts = np.array([r["votes"] for r in rows]), np.array([r["count"] for r in rows], float)
-    post, _ = expectation_maximisation(patterns, counts)
-    return train(patterns, post, counts)
+        return np.zeros((len(KINDS), len(LABELERS), 3)), np.zeros(len(KINDS) + sum(FEATURES) + 1)
+    kinds = np.array([KINDS.index(r["cell"]["kind"]) for r in rows])
+    return fit(kinds, np.array([r["cell"]["votes"] for r in rows]), np.array([r["cell"]["features"] for r in rows]), np.array([r["count"] for r in rows], float))
+
+
+def scored(span: Column, learnt: tuple[np.ndarray, np.ndarray]) -> Column:
+    """The probability of a span with votes and features."""
+    table_, w = learnt
+    kind = F.array_position(F.array(*map(F.lit, KINDS)), span["kind"]).cast("int") - 1
+    parts = np.split(w, np.cumsum([len(KINDS), *FEATURES]))
+    total = F.lit(float(parts[-1][0]))
+    for weights, at in zip(parts[:-1], (kind, *[F.get(span["features"], F.lit(i)) for i in range(len(FEATURES))]), strict=True):
+        total = total + F.get(F.array(*[F.lit(float(x)) for x in weights]), at)
+    for i in range(len(LABELERS)):
+        total = total + F.get(F.array(*[F.lit(float(x)) for x in table_[:, i].ravel()]), kind * 3 + F.get(span["votes"], F.lit(i)) + 1)
+    return 1 / (1 + F.exp(-total))
 
 
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of docs, and base and spans: arrays of (kind, start, end, score).
+def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of docs (all if not given), and base and spans: arrays of (kind, start, end, score).
 
     base holds the strict matches, spans these and the looser ones that the
-    classifier takes. Null texts are empty; columns of docs named base, spans,
-    _base, _loose or _found are replaced. Every row is scored by itself, so rows
-    repeated in docs come back repeated.
+    classifier takes. Null and empty texts have none; columns of docs named base,
+    spans, _base, _loose or _found are replaced. Every row is scored by itself, so
+    rows repeated in docs come back repeated, and an empty table gives no rows. The
+    patterns run once: what they find is written with the columns kept.
     """
-    voted = _voted(docs, text_col)
-    w = learn(voted)
-    score = lambda s: 1 / (1 + F.exp(-(sum((F.get(s["votes"], F.lit(i)) * float(x) for i, x in enumerate(w[:-1])), F.lit(float(w[-1]))))))
-    told = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score(s).alias("score"))
+    names = [c for c in (keep if keep is not None else docs.columns) if c not in ("base", "spans", "_base", "_loose", "_found")]
+    voted = cut(_voted(docs, text_col).select(*names, "_base", "_loose"), "spans")
+    learnt = learn(voted)
+    told = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), scored(s, learnt).alias("score"))
     base = F.transform("_base", told)
     more = F.filter(F.transform("_loose", told), lambda s: s["score"] >= 0.5)
     return voted.withColumns({"base": base, "spans": F.concat(base, more)}).drop("_base", "_loose")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Base spans by kind, and all spans, of every document; null texts have none."""
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     base = F.col("base")
     return found.select("doc_id", *[S.count(base, k).alias(f"n_{k}") for k in BASE], F.sha2(S.listed(base, KINDS, True), 256).alias("base_sha256"), S.listed(F.col("spans"), KINDS, True).alias("spans"))

@@ -3,12 +3,15 @@
 Known forms (assignments, access keys, long hex) are found by pattern. Every other
 long token is held against the alphabet of the narrowest encoding that fits it: a
 chi-squared test of uniformity, a runs test about the middle of the alphabet and a
-test of serial correlation. A token that uniform symbols would hardly give
-(combined p-value below ``ALPHA``) is not random. For the others, the chance that
-ordinary text of that length looks as even as this token is a p-value; the
-Benjamini-Hochberg procedure, one for each class of lengths, keeps the expected
-share of false discoveries below ``FDR``. Its input is a histogram of p-values, so
-the driver sees counts alone; rows never leave the JVM.
+test of serial correlation. The null hypothesis of all three is that the token's
+symbols are drawn uniformly and independently, as a secret's are. The two tests of
+order take the lesser of their p-values twice (Bonferroni), which Fisher's method
+joins with that of the counts. The Benjamini-Hochberg procedure over these, one
+for each class of lengths, finds the tokens that are not random and keeps the
+expected share of secrets among them below ``FDR``. Of the others those are
+reported that ordinary text is unlikely to be as even as (``TEXT``): short words
+cannot be told from secrets by the battery alone. The procedure's input is a
+histogram of p-values, so the driver sees counts alone; rows never leave the JVM.
 """
 
 from __future__ import annotations
@@ -17,11 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import spans as S
-from strandline.llm.common import table
+from strandline.llm.common import cut, table
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "random")
-ALPHA, FDR = 0.001, 0.01
+#: Share of secrets among the tokens found not random; chance that text is as even as a token reported.
+FDR, TEXT = 0.01, 0.003
 #: p-values are rounded up to powers of ten of this fraction.
 GRID = 20
 
@@ -30,7 +34,7 @@ PATTERNS = {
     # Whole runs that are long enough; shorter ones are dropped anyway.
     "access": r"AKIA[A-Z0-9]{16,}+",
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}+",
-    "random": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}",
+    "random": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}",
 }
 
 #: Encodings from narrow to wide: symbols in order of value.
@@ -43,6 +47,7 @@ ENCODINGS = (
     ("base62", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("base64 mixed", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
 #: Chance that two characters of ordinary text agree, and of their doing so thrice.
 TEXT_PAIR, TEXT_TRIPLE = 0.066, 0.0053
@@ -86,8 +91,8 @@ def statistics(token: Column) -> Column:
 def battery(token: Column) -> Column:
     """Array with one struct (n, p_random, p_text), or none if no encoding fits.
 
-    p_random combines the three tests (Bonferroni); p_text is the chance that
-    text of this length is as even or more so.
+    p_random combines the three tests under the null of uniform symbols; p_text is
+    the chance that text of this length is as even or more so.
     """
 
     def tests(s):
@@ -104,9 +109,10 @@ def battery(token: Column) -> Column:
         pairs = n * (n - 1) / 2
         even = (s["squares"] - n) / 2
         sd = F.sqrt(pairs * TEXT_PAIR * (1 - TEXT_PAIR) + n * (n - 1) * (n - 2) * (TEXT_TRIPLE - TEXT_PAIR**2))
-        # Text has digits rarely; a token over letters and digits is further from text by their share.
         p_text = upper_normal((pairs * TEXT_PAIR - even) / sd)
-        return F.struct(n.alias("n"), F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)).alias("p_random"), p_text.alias("p_text"))
+        # Fisher: the product q of two independent p-values has P(q or less) = q (1 - ln q).
+        q = F.greatest(p_chi * F.least(F.lit(1.0), 2 * F.least(p_runs, p_serial)), F.lit(1e-300))
+        return F.struct(n.alias("n"), (q * (1 - F.log(q))).alias("p_random"), p_text.alias("p_text"))
 
     return F.transform(F.filter(statistics(token), lambda s: s["n"] >= 16), tests)
 
@@ -149,23 +155,25 @@ def _tested(docs: DataFrame, text_col: str) -> DataFrame:
     return found.withColumns({"_base": plain, "_loose": F.filter(tested, lambda s: s["t"].isNotNull())}).drop("_found")
 
 
-def scan(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, fdr: float = FDR) -> DataFrame:
-    """All columns of docs, and base and spans: arrays of (kind, start, end).
+def scan(docs: DataFrame, text_col: str = "text", fdr: float = FDR, text: float = TEXT, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of docs (all if not given), and base and spans: arrays of (kind, start, end).
 
-    base holds the known forms, spans these and the random tokens. Null texts are
-    empty; columns of docs named base, spans, _base, _loose or _found are
+    base holds the known forms, spans these and the random tokens. Null and empty
+    texts have none; columns of docs named base, spans, _base, _loose or _found are
     replaced. The battery looks at a token, never at its document, so repeated
-    rows come back repeated.
+    rows come back repeated; an empty table gives no rows. The patterns and the
+    battery run once: what they find is written with the columns kept.
     """
-    tested = _tested(docs, text_col)
-    every = tested.select(F.explode("_loose").alias("s")).select(stratum(F.col("s.t.n")).alias("c"), level(F.col("s.t.p_text")).alias("lv"))
+    names = [c for c in (keep if keep is not None else docs.columns) if c not in ("base", "spans", "_base", "_loose", "_found")]
+    tested = cut(_tested(docs, text_col).select(*names, "_base", "_loose"), "tokens")
+    every = tested.select(F.explode("_loose").alias("s")).select(stratum(F.col("s.t.n")).alias("c"), level(F.col("s.t.p_random")).alias("lv"))
     least = thresholds([tuple(r) for r in every.groupBy("c", "lv").count().collect()], fdr)
 
     def taken(s):
-        enough = F.lit(False)
+        ordinary = F.lit(False)
         for c, lv in sorted(least.items()):
-            enough = enough | ((stratum(s["t"]["n"]) == c) & (level(s["t"]["p_text"]) >= lv))
-        return enough & (s["t"]["p_random"] >= alpha)
+            ordinary = ordinary | ((stratum(s["t"]["n"]) == c) & (level(s["t"]["p_random"]) >= lv))
+        return ~ordinary & (s["t"]["p_text"] <= text)
 
     more = F.transform(F.filter("_loose", taken), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return tested.withColumns({"base": F.col("_base"), "spans": F.concat("_base", more)}).drop("_base", "_loose")
@@ -176,12 +184,13 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     All other columns stay, whatever their names.
     """
-    found = scan(docs.select(F.struct(*docs.columns).alias("_row"), "text"))
+    found = scan(docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"), "text"))
     clean = F.when(F.col("text").isNotNull(), S.redact(F.col("text"), F.col("spans"), mark)).alias("text")
     return found.select(*[clean if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Base spans by start, and all spans, of every document; null texts have none."""
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     base = F.col("base")
     return found.select("doc_id", *[S.count(base, k).alias(f"n_{k}") for k in BASE], F.sha2(S.listed(base, KINDS, False), 256).alias("base_sha256"), S.listed(F.col("spans"), KINDS, False).alias("spans"))
