@@ -1,11 +1,12 @@
 """Document fingerprints: Merkle trees over paragraphs and sections.
 
-Paragraphs are lines, sections are ``SECTION`` lines in a row. A paragraph's node
-is the SHA-256 of its text, a section's that of its paragraphs' nodes, the root's
-that of its sections' nodes: equal roots mean equal texts, and where roots differ,
-the sections and then the paragraphs that differ say where. Below the paragraphs,
-pieces of ``PIECE`` words carry 32-bit hashes; likeness is the share of pieces that
-two trees have in common. Everything is a column expression.
+Paragraphs are lines, sections are ``SECTION`` lines in a row. A paragraph is cut into
+pieces of a few words, whose ends depend on the words alone, so that they fall into
+step again after an edit. A piece's node is the SHA-256 of its text, and every node
+above that of the nodes below it, up to the root: equal roots mean equal texts, and
+where roots differ, the sections, paragraphs and pieces that differ say where. Two
+trees are alike by the pieces that their differing branches do not have in common.
+Everything is a column expression.
 """
 
 from __future__ import annotations
@@ -13,41 +14,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm import spans as S
 from strandline.llm.common import cut, table
 
-SECTION, PIECE = 8, 8
-#: Words with the white space after them, as many as a piece has, in one line.
-_PIECES = r"(?:[^\x20\x09-\x0D]++[\x20\x09\x0B-\x0D]*+){1,%d}+"
+SECTION = 8
+#: A piece ends after the first word, from its fourth, whose last character is one of
+#: these (every third of a-z and 0-9), after 16 words, or with its paragraph.
+ENDS = "adgjmpsvy0369"
+#: White space before the first word, or with no word, belongs to the piece.
+PIECE = r"(?:[\x20\x09\x0B-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09\x0B-\x0D]*+){1,3}+(?:[^\x20\x09-\x0D]++(?<![%s])[\x20\x09\x0B-\x0D]*+){0,12}+(?:[^\x20\x09-\x0D]++[\x20\x09\x0B-\x0D]*+)?+|[\x20\x09\x0B-\x0D]++)" % ENDS
 
 
-def tree(text: Column, section: int = SECTION, piece: int = PIECE) -> Column:
+def _node(below: Column) -> Column:
+    return F.sha2(F.array_join(below, ""), 256)
+
+
+def _short(nodes: Column) -> Column:
+    return F.transform(nodes, lambda n: F.xxhash64(n))
+
+
+def tree(text: Column, section: int = SECTION) -> Column:
     """struct(root, sections, paragraphs, pieces) of a text; null is empty.
 
-    Paragraph and section nodes are cut to 128 bits, which the root is made of
-    in full. A text has one paragraph at least, the empty one.
+    root is the whole node. The others, by which branches are compared, are cut to 64
+    bits: sections in order, the paragraphs of each, the pieces of each of those. A
+    text has one paragraph at least, the empty one, which has no pieces.
     """
-    text = F.coalesce(text, F.lit(""))
-    lines = F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p, 256))
-    groups = lambda nodes: F.transform(F.sequence(F.lit(0), F.ceil(F.size(nodes) / section).cast("int") - 1), lambda i: F.sha2(F.array_join(F.slice(nodes, i * section + 1, section), ""), 256))
-    leaves = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_PIECES % piece), F.lit(0)), lambda p: F.hash(p)))
-    given = F.transform(F.array(lines), lambda nodes: F.struct(groups(nodes).alias("sections"), nodes.alias("paragraphs")))
-    made = F.transform(
-        given,
-        lambda g: F.struct(
-            F.sha2(F.array_join(g["sections"], ""), 256).alias("root"),
-            F.transform(g["sections"], lambda n: F.left(n, F.lit(32))).alias("sections"),
-            F.transform(g["paragraphs"], lambda n: F.left(n, F.lit(32))).alias("paragraphs"),
-            leaves.alias("pieces"),
-        ),
-    )
-    return F.get(made, F.lit(0))
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    leaves = lambda x: F.struct(_node(F.transform(x, lambda p: F.sha2(p, 256))).alias("node"), _short(x).alias("pieces"))
+    paragraphs = F.transform(lines, lambda p: S.let(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), leaves))
+    joined = lambda g: F.struct(_node(g["node"]).alias("node"), _short(g["node"]).alias("paragraphs"), g["pieces"].alias("pieces"))
+    grouped = lambda g: F.transform(F.sequence(F.lit(0), F.ceil(F.size(g) / section).cast("int") - 1), lambda i: S.let(F.slice(g, i * section + 1, section), joined))
+    whole = lambda s: F.struct(_node(s["node"]).alias("root"), _short(s["node"]).alias("sections"), s["paragraphs"].alias("paragraphs"), s["pieces"].alias("pieces"))
+    return S.let(paragraphs, lambda g: S.let(grouped(g), whole))
+
+
+def _among(nodes: Column):
+    """A test of membership in an array, by bisection."""
+    return lambda x: S.below(nodes, x + 1, 24) > S.below(nodes, x, 24)
+
+
+def _rest(a: Column, b: Column) -> Column:
+    """Pieces of a in the paragraphs that differ from all of b's, in the sections that do."""
+    sections = F.array_sort(F.array_except(a["sections"], b["sections"]))
+    paragraphs = F.array_sort(F.array_except(F.flatten(a["paragraphs"]), F.flatten(b["paragraphs"])))
+    inside = lambda z, d: F.flatten(F.transform(F.filter(F.arrays_zip(z["p"].alias("p"), z["x"].alias("x")), lambda q: _among(d["paragraphs"])(q["p"])), lambda q: q["x"]))
+    branches = F.arrays_zip(a["sections"].alias("s"), a["paragraphs"].alias("p"), a["pieces"].alias("x"))
+    walk = lambda d: F.flatten(F.transform(F.filter(branches, lambda z: _among(d["sections"])(z["s"])), lambda z: inside(z, d)))
+    return S.let(F.struct(sections.alias("sections"), paragraphs.alias("paragraphs")), walk)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Pieces in common over the mean number of pieces, 0 to 1; equal roots: 1."""
-    shared = F.size(F.array_intersect(a["pieces"], b["pieces"]))
-    total = F.size(a["pieces"]) + F.size(b["pieces"])
-    return F.when(a["root"] == b["root"], 1.0).when(total == 0, 0.0).otherwise(2.0 * shared / total)
+    """One less the share of different pieces that only one tree has, 0 to 1; equal roots: 1.
+
+    Branches that both trees have are skipped whole, wherever they stand.
+    """
+    leaves = lambda t: F.flatten(F.flatten(t["pieces"]))
+    differ = lambda x, y: F.size(F.array_except(_rest(x, y), leaves(y)))
+    total = F.size(F.array_distinct(leaves(a))) + F.size(F.array_distinct(leaves(b)))
+    return F.when(a["root"] == b["root"], 1.0).when(total == 0, 0.0).otherwise((total - differ(a, b) - differ(b, a)) / total)
 
 
 def differing(a: Column, b: Column, section: int = SECTION) -> Column:
@@ -56,12 +81,16 @@ def differing(a: Column, b: Column, section: int = SECTION) -> Column:
     Sections with equal nodes are skipped whole.
     """
     here = F.filter(F.sequence(F.lit(0), F.size(a["sections"]) - 1), lambda i: ~F.coalesce(F.get(a["sections"], i) == F.get(b["sections"], i), F.lit(False)))
-    inside = F.flatten(F.transform(here, lambda i: F.sequence(i * section, F.least(i * section + section, F.size(a["paragraphs"])) - 1)))
-    return F.when(a["root"] == b["root"], F.array().cast("array<int>")).otherwise(F.filter(inside, lambda p: ~F.coalesce(F.get(a["paragraphs"], p) == F.get(b["paragraphs"], p), F.lit(False))))
+    inside = lambda i: F.filter(F.transform(F.get(a["paragraphs"], i), lambda p, k: F.when(F.coalesce(p == F.get(F.get(b["paragraphs"], i), k), F.lit(False)), -1).otherwise(i * section + k)), lambda k: k >= 0)
+    return F.when(a["root"] == b["root"], F.array().cast("array<int>")).otherwise(F.flatten(F.transform(here, inside)))
 
 
 def fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of docs and tree, which replaces a column of that name."""
+    """All columns of docs and tree, which replaces a column of that name.
+
+    A null text is empty; repeated rows come back repeated with equal trees, an empty
+    table gives no rows.
+    """
     return docs.withColumn("tree", tree(F.col(text_col)))
 
 
@@ -82,7 +111,7 @@ def successors(keys: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, n_chars, edited (text) and next_tree (root and pieces) of every row.
+    """doc_id, text, n_chars, edited (text) and next_tree of every row.
 
     edited is the text whose last floor(n_chars / 4) code points are replaced by
     the first as many (or all) of the next document's. Documents follow each
@@ -98,7 +127,6 @@ def with_next(docs: DataFrame) -> DataFrame:
     # The next document's part, once for each document before it, however often it is repeated.
     given = order.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), "need", F.col("n1").alias("k1"), F.col("n2").alias("k2"))
     parts = keyed.join(given, ["k1", "k2"]).select(F.col("p1").alias("k1"), F.col("p2").alias("k2"), F.expr("left(text, need)").alias("part"), tree(F.col("text")).alias("next_tree"))
-    parts = parts.select("k1", "k2", "part", F.struct("next_tree.root", "next_tree.pieces").alias("next_tree"))
     repeated = order.where("n > 1").limit(1).count()
     joined = keyed.join(parts.dropDuplicates(["k1", "k2"]) if repeated else parts, ["k1", "k2"])
     n = F.length("text")

@@ -22,15 +22,19 @@ def queries() -> dict:
     }
 
 
+#: merkle.PIECE without look-behind and possessive repeats, which RE2 does not know.
+_PIECE = r"[\x20\x09\x0B-\x0D]*(?:[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]+|\z)){1,3}(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D%s](?:[\x20\x09\x0B-\x0D]+|\z)){0,12}(?:[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]+|\z))?|[\x20\x09\x0B-\x0D]+" % merkle.ENDS
+
+
 def _root(x: str) -> str:
     """SQL for the root of a text's tree."""
-    nodes = f"list_transform(string_split({x}, chr(10)), lambda p: sha256(p))"
+    nodes = f"list_transform(string_split({x}, chr(10)), lambda p: sha256(array_to_string(list_transform(regexp_extract_all(p, '{_PIECE}'), lambda w: sha256(w)), '')))"
     sections = f"list_transform(range((len({nodes}) + 7) // 8), lambda i: sha256(array_to_string(({nodes})[i * 8 + 1:i * 8 + 8], '')))"
     return f"sha256(array_to_string({sections}, ''))"
 
 
 def _pieces(x: str) -> str:
-    return rf"list_distinct(regexp_extract_all({x}, '(?:[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*){{1,8}}'))"
+    return f"list_distinct(flatten(list_transform(string_split({x}, chr(10)), lambda p: regexp_extract_all(p, '{_PIECE}'))))"
 
 
 def _likeness(a: str, b: str) -> str:

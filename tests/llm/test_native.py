@@ -164,6 +164,20 @@ def test_merkle_locates_edits(spark):
     assert (got[0], got[1], got[2]) == ([17, 33], [], 1.0)
 
 
+def test_merkle_likeness_survives_shifts(spark):
+    """A word put in early, and lines put in front, move no piece further on."""
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(600)]
+    one, cut = " ".join(words), [" ".join(words[i : i + 12]) for i in range(0, 600, 12)]
+    pairs = [(one, " ".join([*words[:5], "inserted", *words[5:]])), ("\n".join(cut), "\n".join(["new line", "", *cut])), (one, " ".join(words[::-1]))]
+    df = spark.createDataFrame(pairs, "a string, b string").select(merkle.tree(F.col("a")).alias("a"), merkle.tree(F.col("b")).alias("b"))
+    near = [x.n for x in df.select(merkle.likeness(F.col("a"), F.col("b")).alias("n")).collect()]
+    assert near[0] > 0.95 and near[1] > 0.95 and near[2] < 0.05
+    flat = lambda t: {p for s in t.pieces for g in s for p in g}
+    for x, n in zip(df.collect(), near, strict=True):
+        assert n == pytest.approx(2 * len(flat(x.a) & flat(x.b)) / (len(flat(x.a)) + len(flat(x.b))))
+
+
 def test_find_is_leftmost(spark):
     df = spark.createDataFrame([("aXbXXc",), ("",), ("XX",)], "t string")
     got = df.select(S.find(F.col("t"), "X", "k", F.lit(True), 1).alias("s")).collect()
