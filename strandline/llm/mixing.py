@@ -20,8 +20,9 @@ from strandline.llm.common import cut, table
 SPACE = " \t\n\x0b\x0c\r"
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED = 1.5, 2.0, 17
-#: Documents of one source and size that are ranked together, about.
-CELL = 1000
+#: Documents of one source and size that are ranked together, unless all documents are
+#: more than HOT times as many; so at most HOT pairs of source and size are split.
+CELL, HOT = 1000, 10_000
 
 
 def n_words(text):
@@ -56,21 +57,26 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     """docs (doc_id, source, size and any other columns) with source_size, target, copies.
 
     The driver gets one row a source, as the weights are given by source. Ranks
-    in a source come from a count by (source, size, salt): no task holds a whole
-    source. A null source is one source; rows repeated in docs are documents of
-    their own; an empty document or source takes nothing, and a null size is 0. Columns of docs with the
-    names of the three new ones are replaced; names that start with ``_mix`` are
-    taken.
+    in a source come from counts by (source, size, salt), where only frequent sizes
+    have salts: no task holds a whole source, and the prefix sums of a source are over
+    its different sizes, not over its documents. A null source is one source; rows
+    repeated in docs are documents of their own; an empty document or source takes
+    nothing, and a null size is 0. Columns of docs with the names of the three new ones
+    are replaced; names that start with ``_mix`` are taken.
     """
     spark, docs = docs.sparkSession, docs.drop("source_size", "target", "copies")
-    known = docs.groupBy("source", F.coalesce("size", F.lit(0)).alias("size")).agg(F.count("*").alias("n"))
-    per = {r["source"]: r for r in known.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.max("n").alias("most")).collect()}
+    known = cut(docs.groupBy("source", F.coalesce("size", F.lit(0)).alias("size")).agg(F.count("*").alias("n")), "cells")
+    per = {r["source"]: r for r in known.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n")).collect()}
     goal = targets({s: r["size"] for s, r in per.items()}, weights, share, cap)
-    rates = [(s, k, int(r["size"]), float(goal[s]), goal[s] / r["size"] if r["size"] else 0.0, (zlib.crc32(f"{seed}:{s}".encode()) & 0xFFFF) / 0x10000, -(-r["most"] // CELL)) for k, (s, r) in enumerate(per.items())]
+    rates = [(s, k, int(r["size"]), float(goal[s]), goal[s] / r["size"] if r["size"] else 0.0, (zlib.crc32(f"{seed}:{s}".encode()) & 0xFFFF) / 0x10000) for k, (s, r) in enumerate(per.items())]
     # One row a source; Spark broadcasts it if it is small enough.
-    sources = spark.createDataFrame(rates, "_mix_source string, _mix_id int, source_size long, target double, _mix_rate double, _mix_offset double, _mix_salts int")
+    sources = spark.createDataFrame(rates, "_mix_source string, _mix_id int, source_size long, target double, _mix_rate double, _mix_offset double")
+    limit = max(CELL, sum(r["n"] for r in per.values()) // HOT)
+    named = sources.select("_mix_source", "_mix_id")
+    split = known.where(F.col("n") > limit).join(named, known["source"].eqNullSafe(named["_mix_source"])).select("_mix_id", F.col("size").alias("_mix_size"), F.ceil(F.col("n") / limit).cast("int").alias("_mix_salts"))
     cell = ["_mix_id", "_mix_size", "_mix_salt"]
-    placed = docs.join(sources, docs["source"].eqNullSafe(sources["_mix_source"])).withColumns({"_mix_size": F.coalesce("size", F.lit(0)), "_mix_salt": F.pmod(F.xxhash64("doc_id"), F.col("_mix_salts"))})
+    placed = docs.join(sources, docs["source"].eqNullSafe(sources["_mix_source"])).withColumn("_mix_size", F.coalesce("size", F.lit(0)))
+    placed = placed.join(F.broadcast(split), ["_mix_id", "_mix_size"], "left").withColumn("_mix_salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("_mix_salts", F.lit(1))))
     before = Window.partitionBy("_mix_id").orderBy("_mix_size", "_mix_salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = placed.groupBy(*cell).count().select(*cell, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_mix_base"))
     # The ranks and the join share one shuffle of the documents.
