@@ -11,6 +11,7 @@ place from its rank within its length.
 from __future__ import annotations
 
 import bisect
+import gc
 import json
 import os
 import re
@@ -84,24 +85,31 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, chunks: list[str]) -> dict[str, bytes]:
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of chunks that are not known, and of the parts that they were made from."""
-        parts, alone = {}, set()
+        out, words, rest, parts = {}, set(), set(), []
+        known, apart, match = self.known, self.apart, _WORD_END.fullmatch
+
+        def alone(c: str) -> None:
+            # All letters, of alphabets that every version of the patterns knows.
+            (words if apart and c.isalpha() and (c.isascii() or max(c) < "\u0250") else rest).add(c)
+
         for c in chunks:
-            end = _WORD_END.fullmatch(c) if self.apart else None
-            if end:
-                parts[c] = end.groups()
-            alone.update(parts.get(c, (c,)))
-        out = {c: self.known[c] for c in alone if c in self.known}
-        # All letters, of alphabets that every version of the patterns knows.
-        words = [c for c in alone if c not in out and self.apart and c.isalpha() and max(c) < "\u0250"]
-        for tokenizer, rest in ((self.letters, words), (self.bare, list(alone.difference(out, words)))) if self.apart else ((self.bare, list(alone.difference(out))),):
-            for at in range(0, len(rest), 4096):
-                part = rest[at : at + 4096]
-                for c, got in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    ids = got.ids
-                    out[c] = array("I", ids).tobytes()
-        for c, (word, end) in parts.items():
+            if apart and not c.isalpha() and (end := match(c)):
+                parts.append((c, *end.groups()))
+                for x in end.groups():
+                    if x in known:
+                        out[x] = known[x]
+                    else:
+                        alone(x)
+            else:
+                alone(c)
+        for tokenizer, some in ((self.letters, list(words)), (self.bare, list(rest))) if apart else ((self.bare, list(rest)),):
+            for at in range(0, len(some), 4096):
+                part = some[at : at + 4096]
+                got = tokenizer.encode_batch_fast(part, add_special_tokens=False)
+                out.update(zip(part, [array("I", g.ids).tobytes() for g in got], strict=True))
+        for c, word, end in parts:
             out[c] = out[word] + out[end]
         return out
 
@@ -126,7 +134,7 @@ class Encoder:
                 out.append(None)
                 new.update(c for c, g in zip(chunks, got, strict=True) if g is None)
                 waiting.append((k, chunks, got))
-        fresh = self.learn(list(new))
+        fresh = self.learn(new)
         for k, chunks, got in waiting:
             out[k] = b"".join([fresh[c] if g is None else g for c, g in zip(chunks, got, strict=True)])
         if len(self.known) + len(fresh) <= CACHE:
@@ -162,6 +170,14 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_i
             _encoders.clear()
             _encoders[key] = Encoder(spec.value)
         encoder = _encoders[key]
+        # Millions of strings and no cycles: the collector would only walk them again and again.
+        gc.disable()
+        try:
+            yield from pieces(encoder, batches)
+        finally:
+            gc.enable()
+
+    def pieces(encoder, batches):
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             rows = [(d, k, start, n, zlib.crc32(part), part) for d, ids in zip(doc_ids, encoder.encode(texts), strict=True) for k, (start, n, part) in enumerate(pieces_of(ids, max_tokens))]
