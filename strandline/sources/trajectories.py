@@ -23,13 +23,17 @@ from strandline.schema import ALIASES, SCALARS, SEQUENCES, TENSORS, TRAJECTORIES
 WRAPPERS = ("hidden_states", "features", "tensor", "states")
 
 
+#: A character that Python's str.strip() would not take away.
+_VISIBLE = r"[^\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no (from 1), row_index (from 0, blank lines left out) and value, in file order.
 
     Splits are numbered by file and place; only their sizes are gathered.
     """
     text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    rows = text.where(F.trim("value") != "").withColumn("row", F.monotonically_increasing_id())
+    rows = text.where(F.col("value").rlike(_VISIBLE)).withColumn("row", F.monotonically_increasing_id())
     splits = text.groupBy("file", "block").agg(F.min("line").alias("line_0"), F.count("*").alias("lines"))
     filled = rows.groupBy("file", "block").agg(F.min("row").alias("row_0"), F.count("*").alias("rows"))
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)

@@ -33,6 +33,15 @@ def read(spark, tmp_path, lines, **options):
 H = [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0], [7.0, 8.0]]
 
 
+def test_lines_of_white_space_are_blank(spark, tmp_path):
+    """All white space of str.strip() counts, so later rows keep their row_index."""
+    lines = ["{}", "\t", " \x0b\x1f ", "\u00a0\u3000", '{"a": 1}', "", "x"]
+    (tmp_path / "rows.jsonl").write_text("\n".join(lines), encoding="utf-8")
+    got = sorted((r.row_index, r.line_no, r.value) for r in trajectories.read_lines(spark, str(tmp_path / "rows.jsonl")).collect())
+    kept = [(n + 1, x) for n, x in enumerate(lines) if x.strip()]
+    assert got == [(k, n, x) for k, (n, x) in enumerate(kept)]
+
+
 def test_blank_lines_ids_and_aliases(spark, tmp_path):
     lines = [
         {"hidden_states": H, "semantic_id": None, "group_id": "g1"},
