@@ -70,14 +70,16 @@ def _contract(batches):
 HOT, CELL = 10_000, 256
 
 
-def join_hot(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+def join_hot(rows: DataFrame, values: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
     """rows with the columns of values, which has each key at most once; rows without a match go.
 
     Rows of a key above max(CELL, rows / HOT) never meet in one task: there are fewer
     than HOT such keys, so their values are broadcast. The others are shuffled. rows
-    is read more than once and should be a table.
+    is read more than once and should be a table. counts: rows by key (key, _n) where
+    they are known, at least those of keys with a match.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
     limit = counts.agg(F.greatest(F.lit(float(CELL)), F.sum("_n") / HOT)).scalar()
     hot = counts.where(F.col("_n") > limit).select(key)
     warm = rows.join(F.broadcast(values.join(F.broadcast(hot), key, "left_semi")), key)
@@ -96,9 +98,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     near = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).mapInArrow(_contract, "x long, y long").distinct(), "edges")
     both = near.union(near.select("y", "x"))
+    degree = cut(both.groupBy("y").agg(F.count("*").alias("_n")), "degree")
     labels = cut(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("label")), "labels")
     while True:
-        spread = join_hot(both, labels.withColumnRenamed("x", "y"), "y").select("x", "label")
+        spread = join_hot(both, labels.withColumnRenamed("x", "y"), "y", degree).select("x", "label")
         best = cut(spread.union(labels).groupBy("x").agg(F.min("label").alias("near"), F.max("label").alias("most")), "best")
         # A node's label is a node, which has a label of its own.
         jump = labels.select(F.col("x").alias("near"), F.col("label").alias("far"))
@@ -113,4 +116,5 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         labels = new.drop("moved")
         labels._strandline_path = new._strandline_path
     drop(near)
+    drop(degree)
     return labels.select(F.col("x").alias("node"), F.col("label").alias("component"))
