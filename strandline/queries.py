@@ -40,6 +40,13 @@ def r6(c, name: str) -> Column:
     return F.round(c, 6).alias(name)
 
 
+def six(x: Column) -> Column:
+    """x as a double, rounded to six places as SQL does: what rounds to zero keeps its sign."""
+    x = x.cast("double")
+    scaled = F.abs(x) * 1e6
+    return F.when(scaled < float("inf"), F.signum(x) * (F.round(scaled) / 1e6)).otherwise(x)
+
+
 def long(c, name: str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return c.cast("long").alias(name)
@@ -338,12 +345,12 @@ def train_val_split(spark, d):
 
 @query("SELECT vec_id, list_transform(list_transform(embedding::DOUBLE[], lambda x: x / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12)), lambda x: round(x, 6)) AS unit FROM embeddings")
 def l2_normalize(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.transform(q.l2_normalize("embedding"), lambda x: F.round(x, 6)).alias("unit"))
+    return table(spark, d, "embeddings").select("vec_id", F.transform(q.l2_normalize("embedding"), six).alias("unit"))
 
 
 @query("WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_avg(embedding::DOUBLE[]) AS mean FROM embeddings), v AS (SELECT *, list_avg(list_transform(e, lambda x: (x - mean) * (x - mean))) AS var FROM m) SELECT vec_id, list_transform(e, lambda x: round((x - mean) / sqrt(var + 1e-5), 6)) AS normed FROM v")
 def layer_norm(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.transform(q.layer_norm("embedding"), lambda x: F.round(x, 6)).alias("normed"))
+    return table(spark, d, "embeddings").select("vec_id", F.transform(q.layer_norm("embedding"), six).alias("normed"))
 
 
 @query(SQL + ", cond AS (SELECT row_index, pos AS cpos, embedding AS c FROM heads WHERE pos < 3), pair AS (SELECT t.row_index, t.pos, cpos, list_dot_product(t.embedding::DOUBLE[], c::DOUBLE[]) / (sqrt(list_dot_product(t.embedding::DOUBLE[], t.embedding::DOUBLE[])) * sqrt(list_dot_product(c::DOUBLE[], c::DOUBLE[]))) AS sim FROM heads t JOIN cond USING (row_index)) SELECT row_index, pos, round(sum(sim * exp(sim)) / sum(exp(sim)), 6) AS relevance FROM pair GROUP BY row_index, pos")
