@@ -287,9 +287,8 @@ def encode_ids(spark, d):
 
 @query("SELECT vec_id, list_transform(range(80), lambda i: CASE WHEN i < 64 THEN round(embedding[i + 1]::DOUBLE, 6) ELSE 0 END) AS padded, list_transform(embedding[1:5]::DOUBLE[], lambda x: round(x, 6)) AS trimmed FROM embeddings")
 def pad_or_trim(spark, d):
-    six = lambda c: F.transform(c, lambda x: F.round(x.cast("double"), 6))
     doubles = F.transform("embedding", lambda x: x.cast("double"))
-    return table(spark, d, "embeddings").select("vec_id", six(q.pad_or_trim(doubles, 80)).alias("padded"), six(q.pad_or_trim(doubles, 5)).alias("trimmed"))
+    return table(spark, d, "embeddings").select("vec_id", F.transform(q.pad_or_trim(doubles, 80), six).alias("padded"), F.transform(q.pad_or_trim(doubles, 5), six).alias("trimmed"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN source END WHEN doc_id % 3 = 1 THEN lang END AS semantic_id FROM documents")

@@ -72,7 +72,7 @@ def exact(spark, tmp_path, name, vectors):
 TINY = [[s * v for v in row] for s in (1.0, -1.0) for row in ([0.5, 3e-7, 0.0] + [0.125] * 61, [1e-9] * 64, [0.0] * 64, [0.0078125, 5e-7, 1e30] + [1.5] * 61)]
 
 
-@pytest.mark.parametrize("name", ["l2_normalize", "layer_norm"])
+@pytest.mark.parametrize("name", ["l2_normalize", "layer_norm", "pad_or_trim"])
 def test_signs_of_zero(spark, tmp_path, name):
     got, want = exact(spark, tmp_path, name, TINY)
     assert got == want
