@@ -36,10 +36,6 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-def r6(c, name: str) -> Column:
-    return F.round(c, 6).alias(name)
-
-
 def six(x: Column) -> Column:
     """x as a double, rounded to six places as SQL does: what rounds to zero keeps its sign."""
     x = x.cast("double")
@@ -47,6 +43,10 @@ def six(x: Column) -> Column:
     return F.when(scaled < float("inf"), F.signum(x) * (F.round(scaled) / 1e6)).otherwise(x)
 
 
+def r6(c, name: str) -> Column:
+    return q.let(F.col(c) if isinstance(c, str) else c, six).alias(name)
+
+
 def long(c, name: str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return c.cast("long").alias(name)

@@ -58,7 +58,7 @@ def close(p, q):
 
 def exact(spark, tmp_path, name, vectors):
     """A query's rows over the given vectors, and its SQL's, as text: signs of zeros count."""
-    rows = [(k, v, k % 3) for k, v in enumerate(vectors)]
+    rows = [(8 * k, v, k % 3) for k, v in enumerate(vectors)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = queries.QUERIES[name](spark, str(tmp_path))
     con = duckdb.connect()
@@ -72,7 +72,7 @@ def exact(spark, tmp_path, name, vectors):
 TINY = [[s * v for v in row] for s in (1.0, -1.0) for row in ([0.5, 3e-7, 0.0] + [0.125] * 61, [1e-9] * 64, [0.0] * 64, [0.0078125, 5e-7, 1e30] + [1.5] * 61)]
 
 
-@pytest.mark.parametrize("name", ["l2_normalize", "layer_norm", "pad_or_trim"])
+@pytest.mark.parametrize("name", ["l2_normalize", "layer_norm", "pad_or_trim", "masked_mean"])
 def test_signs_of_zero(spark, tmp_path, name):
     got, want = exact(spark, tmp_path, name, TINY)
     assert got == want
