@@ -14,7 +14,6 @@ import bisect
 import gc
 import json
 import os
-import re
 import unicodedata
 import zlib
 from array import array
@@ -47,8 +46,120 @@ def default_tokenizer() -> str:
 
 #: Fixed value: a pre-tokenizer's pattern that keeps runs of letters apart from runs of symbols.
 LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: A word and the symbols after it, which that pattern encodes apart.
-_WORD_END = re.compile(r"([a-z\u00df-\u024f]+)([!-&(-/:-@\[-`{-~]+)")
+#: Symbols that may follow a word, which that pattern encodes apart.
+_SYMBOLS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+
+
+class WordPairs:
+    """Byte-pair encoding of many words at once: ids as the tokenizer gives them for one pre-tokenized word.
+
+    Words of one length in bytes are the columns of a table of symbols. In each step
+    every column merges its pair of least rank, the leftmost of these, and so gets
+    shorter by one; a column without such a pair is done.
+    """
+
+    #: Bytes of the longest word; words in a table.
+    LONGEST, WIDTH = 60, 8192
+    _TIMES, _NONE = np.uint32(0x9E3779B1), np.int32(1 << 30)
+
+    def __init__(self, vocab: dict[str, int], merges: list):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        shown = {b: c for c, b in self.alphabet().items()}
+        assert set(shown.values()) == set(ByteLevel.alphabet())
+        self.inner, self.last = (np.array([vocab[shown[b] + end] for b in range(256)], np.uint16) for end in ("", "</w>"))
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        ids = [(~(vocab[a] << 16 | vocab[b]) & 0xFFFFFFFF, vocab[a + b]) for a, b in pairs]
+        bits = max(4, (len(ids) * 2).bit_length())
+        self.shift, self.wrap = np.uint32(32 - bits), np.uint32((1 << bits) - 1)
+        # Open addressing by inverted pairs; no pair inverts to 0, which an empty place holds.
+        self.key, self.rank = np.zeros(1 << bits, np.uint32), np.full(1 << bits, self._NONE, np.int32)
+        self.made = np.array([new for _, new in ids], np.uint16)
+        for rank, (key, _) in enumerate(ids):
+            at = (key * int(self._TIMES) & 0xFFFFFFFF) >> int(self.shift)
+            while self.key[at]:
+                at = (at + 1) & int(self.wrap)
+            self.key[at], self.rank[at] = key, rank << 6
+        self.first = [self.ranks(self.inner[:, None], x[None, :]) for x in (self.inner, self.last)]
+
+    @staticmethod
+    def alphabet() -> dict[str, int]:
+        """The byte that each character of the byte-level alphabet stands for."""
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+    @classmethod
+    def of(cls, rules: dict) -> WordPairs | None:
+        """None where the rules ask for more than plain merges."""
+        model = rules["model"]
+        vocab, merges = model.get("vocab") or {}, model.get("merges") or []
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        plain = model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        plain = plain and len(set(map(tuple, pairs))) == len(pairs) and all(c + end in vocab for c in cls.alphabet() for end in ("", "</w>")) and max(vocab.values()) < (1 << 16) - 1
+        plain = plain and all(a in vocab and b in vocab and a + b in vocab for a, b in pairs)
+        return cls(vocab, merges) if plain else None
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols, times 64."""
+        key = ~(a.astype(np.uint32) << np.uint32(16) | b)
+        at = (key * self._TIMES) >> self.shift
+        held = self.key[at]
+        out = self.rank[at]
+        other = np.nonzero(held != key)
+        out[other] = self._NONE
+        while len(other[0]):
+            more = held[other] != 0
+            other = tuple(x[more] for x in other)
+            at[other] = (at[other] + np.uint32(1)) & self.wrap
+            held[other] = self.key[at[other]]
+            hit = held[other] == key[other]
+            found = tuple(x[hit] for x in other)
+            out[found] = self.rank[at[found]]
+            other = tuple(x[~hit] for x in other)
+        return out
+
+    def encode(self, words: list[str]) -> dict[str, bytes]:
+        """Ids as little-endian uint32 bytes; words that are empty or too long are left out."""
+        by_length: dict[int, tuple[list[str], list[bytes]]] = {}
+        for w in words:
+            raw = w.encode()
+            if len(raw) not in by_length:
+                by_length[len(raw)] = ([], [])
+            names, raws = by_length[len(raw)]
+            names.append(w)
+            raws.append(raw)
+        out: dict[str, bytes] = {}
+        for length, (names, raws) in by_length.items():
+            if 0 < length <= self.LONGEST:
+                for at in range(0, len(names), self.WIDTH):
+                    self._table(names[at : at + self.WIDTH], np.frombuffer(b"".join(raws[at : at + self.WIDTH]), "u1").reshape(-1, length).T, out)
+        return out
+
+    def _table(self, names: list[str], raw: np.ndarray, out: dict[str, bytes]) -> None:
+        s = np.concatenate([self.inner[raw[:-1]], self.last[raw[-1:]]])
+        r = np.concatenate([self.first[0][raw[:-2], raw[1:-1]], self.first[1][raw[-2:-1], raw[-1:]]]) if len(raw) > 1 else np.zeros((0, len(names)), np.int32)
+        who, row = np.arange(len(names)), np.arange(len(raw), dtype=np.int32)[:, None]
+        while True:
+            # The least rank, and the place of the leftmost pair that has it.
+            low = (r | row[: len(r)]).min(0, initial=self._NONE)
+            off = low >= self._NONE
+            done = np.flatnonzero(off)
+            if len(done):
+                ids, size = s[:, done].T.astype("<u4").tobytes(), 4 * len(s)
+                for at, k in zip(range(0, size * len(done), size), who[done].tolist(), strict=True):
+                    out[names[k]] = ids[at : at + size]
+                if len(done) == len(who):
+                    return
+                on = np.flatnonzero(~off)
+                s, r, who, low = s[:, on], r[:, on], who[on], low[on]
+            n, k = np.arange(len(who)), low & 63
+            s = np.where(row[: len(r)] > k, s[1:], s[:-1])
+            s[k, n] = self.made[low >> 6]
+            r = np.where(row[: len(r) - 1] >= k, r[1:], r[:-1])
+            for left, have in ((k - 1, k > 0), (k, k < len(r))):
+                i, j = left[have], n[have]
+                r[i, j] = self.ranks(s[i, j], s[i + 1, j])
 
 
 class Encoder:
@@ -80,6 +191,7 @@ class Encoder:
         if self.by_chunk:
             self.bare = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "added_tokens": []}))
             self.letters = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "added_tokens": [], "pre_tokenizer": pre[1]})) if self.apart else None
+            self.pairs = WordPairs.of(rules) if self.apart and not pre[1]["add_prefix_space"] else None
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -88,22 +200,27 @@ class Encoder:
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of chunks that are not known, and of the parts that they were made from."""
         out, words, rest, parts = {}, set(), set(), []
-        known, apart, match = self.known, self.apart, _WORD_END.fullmatch
-
-        def alone(c: str) -> None:
-            # All letters, of alphabets that every version of the patterns knows.
-            (words if apart and c.isalpha() and (c.isascii() or max(c) < "\u0250") else rest).add(c)
-
+        known, apart = self.known, self.apart
         for c in chunks:
-            if apart and not c.isalpha() and (end := match(c)):
-                parts.append((c, *end.groups()))
-                for x in end.groups():
-                    if x in known:
-                        out[x] = known[x]
-                    else:
-                        alone(x)
-            else:
-                alone(c)
+            word = c if c.isalpha() or not apart else c.rstrip(_SYMBOLS)
+            # All letters, of alphabets that every version of the patterns knows.
+            if not (apart and word.isalpha() and (word.isascii() or max(word) < "\u0250")):
+                rest.add(c)
+                continue
+            if word is not c and len(word) < len(c):
+                end = c[len(word) :]
+                parts.append((c, word, end))
+                if end in known:
+                    out[end] = known[end]
+                else:
+                    rest.add(end)
+                if word in known:
+                    out[word] = known[word]
+                    continue
+            words.add(word)
+        if self.pairs:
+            out.update(self.pairs.encode(list(words)))
+            words = words.difference(out)
         for tokenizer, some in ((self.letters, list(words)), (self.bare, list(rest))) if apart else ((self.bare, list(rest)),):
             for at in range(0, len(some), 4096):
                 part = some[at : at + 4096]
@@ -117,28 +234,26 @@ class Encoder:
         if not self.by_chunk:
             return [self.whole(t) for t in texts]
         out: list[bytes | None] = []
-        waiting: list[tuple[int, list[str], list[bytes | None]]] = []
-        new: set[str] = set()
-        known, apart = self.known.get, (*self.ODD, *self.added)
+        waiting: list[tuple[int, list[str]]] = []
+        apart = (*self.ODD, *self.added)
         for k, t in enumerate(texts):
             if any(c in t for c in apart):
                 out.append(self.whole(t))
                 continue
             if not t.isascii():
                 t = unicodedata.normalize("NFC", t).replace("Σ", "σ")
-            chunks = t.lower().split()
-            got = list(map(known, chunks))
-            try:
-                out.append(b"".join(got))
-            except TypeError:  # a chunk is not known yet
-                out.append(None)
-                new.update(c for c, g in zip(chunks, got, strict=True) if g is None)
-                waiting.append((k, chunks, got))
+            out.append(None)
+            waiting.append((k, t.lower().split()))
+        new = set().union(*(chunks for _, chunks in waiting))
+        new.difference_update(self.known)
         fresh = self.learn(new)
-        for k, chunks, got in waiting:
-            out[k] = b"".join([fresh[c] if g is None else g for c, g in zip(chunks, got, strict=True)])
-        if len(self.known) + len(fresh) <= CACHE:
-            self.known.update(fresh)
+        self.known.update(fresh)
+        known = self.known.__getitem__
+        for k, chunks in waiting:
+            out[k] = b"".join(map(known, chunks))
+        # The last that came are forgotten where they are too many.
+        while len(self.known) > CACHE:
+            self.known.popitem()
         return out
 
 

@@ -1,6 +1,7 @@
 """The least-squares fit of patterns against exact solutions, and what patterns place."""
 
 import itertools
+import random
 
 import numpy as np
 from conftest_llm import SF
@@ -76,3 +77,21 @@ def test_words_and_symbols_apart():
     texts = ["that$$$ that. that.$$$ it's 'tis don't. a_b c_ _d é, éß### 12% x9. --- (word) word's. ŉx. İ. ﬁ! ʰa."] * 2
     got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
     assert encoder.apart and got == [encoder.full.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_word_pairs_merge_as_the_tokenizer(monkeypatch):
+    """Words of every length at once: repeats that overlap, other alphabets, too long a word; what a full memory forgets."""
+    with open(packing.default_tokenizer(), encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read())
+    r = random.Random(4)
+    letters = (("ab", 12), ("a", 64), ("etaoinshr", 14), ("abcdefghijklmnopqrstuvwxyzßéöñł", 40))
+    words = sorted({"".join(r.choice(a) for _ in range(r.randint(1, n))) for a, n in letters for _ in range(500)})
+    got = encoder.pairs.encode(words)
+    assert {w for w in words if w not in got} == {w for w in words if len(w.encode()) > packing.WordPairs.LONGEST} != set()
+    want = encoder.letters.encode_batch_fast(words, add_special_tokens=False)
+    assert all(w not in got or np.frombuffer(got[w], "<u4").tolist() == g.ids for w, g in zip(words, want, strict=True))
+    monkeypatch.setattr(packing, "CACHE", 50)
+    for _ in range(2):
+        texts = [" ".join(r.choice(words) + r.choice(("", ",", "...", "'s", "1.")) for _ in range(60)) for _ in range(4)]
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+        assert len(encoder.known) == 50 and got == [encoder.full.encode(t, add_special_tokens=False).ids for t in texts]
