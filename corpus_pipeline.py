@@ -25,7 +25,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of each component: the smallest doc_id, then the smallest hash of the text.
 
     Components link texts whose sets of five-word shingles have a Jaccard similarity
-    of 0.8 or more. A row without a doc_id is kept where its component has no other.
+    of 0.8 or more: SimHash balls propose pairs, MinHash bands those that lie beyond
+    every ball, and the texts decide. A row without a doc_id is kept where its component has no other.
     """
     rows, member = copies.near_copies(docs)
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"), "_at")

@@ -105,3 +105,18 @@ def test_members_with_a_likely_partner():
         batches = [pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in rows[i : i + step]], pa.schema([(n, pa.int64()) for n in names])) for i in range(0, len(rows), step)]
         assert [(x["block"], x["_at"]) for b in copies._hopeful(0.8)(iter(batches)) for x in b.to_pylist()] == want
     assert want and [b.num_rows for b in copies._hopeful(0.8)(iter([]))] == [0]
+
+
+def test_simhash_proposes(spark):
+    """The balls alone: components of all fingerprints within 4 bits, copies of a fingerprint included; sizes far apart do not meet."""
+    r = random.Random(11)
+    fps = [r.getrandbits(64) for _ in range(40)]
+    for at in range(120):
+        fps.append(fps[r.randrange(len(fps))] ^ sum(1 << b for b in r.sample(range(64), at % 7)))
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    each = spark.createDataFrame([(i, 100, x) for i, x in enumerate(signed)], "_at long, _size int, _fp long")
+    got = {tuple(x) for x in copies.in_balls(common.cut(each, "each")).collect()}
+    near = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4
+    assert components(range(160), lambda a, b: (a, b) in got or (b, a) in got) == components(range(160), near)
+    apart = spark.createDataFrame([(0, 100, 5), (1, 79, 5), (2, 80, 5), (3, 79, 4)], "_at long, _size int, _fp long")
+    assert {tuple(x) for x in copies.in_balls(common.cut(apart, "apart")).collect()} == {(0, 2)}
