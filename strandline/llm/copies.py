@@ -1,13 +1,10 @@
 """SimHash near copies: texts whose sets of shingles have a Jaccard similarity of ``LEAST`` or more.
 
-SimHash proposes first: fingerprints of the shingle sets that meet in the balls of
-``simhash.py`` (within 4 bits) name pairs, whose texts are compared. At 0.8 fingerprints
-differ in 10 of 64 bits on average, which no ball that can be listed reaches, so
-the rest, pairs that lie in different components after that, comes from MinHash bands:
-a pair at exactly 0.8 shares
+SimHash proposes fingerprints of the shingle sets that meet in the balls of ``simhash.py``
+(within 4 bits). At 0.8 fingerprints differ in 10 of 64 bits on average, which no ball
+that can be listed reaches, so MinHash bands propose the rest: a pair at exactly 0.8 shares
 none of ``BANDS`` bands of ``DEPTH`` minima in 6 of 10 million cases, a closer pair
-less often. Bands within one component are left out. Each member of another band is held
-against its first member: sizes and
+less often. Each member of a band is held against its first member: sizes and
 SimHash (over ``APART`` bits: less than 3 in a million at 0.8) reject most chance
 meetings, the texts of the others are compared. Where members are still in different
 components, the band is cut into tiles of about ``TILE`` members, and a task compares
@@ -265,18 +262,14 @@ def near_copies(docs: DataFrame, k: int = WORDS, least: float = LEAST) -> tuple[
     rows = cut(shingled(docs, k).withColumn("_at", F.monotonically_increasing_id()), "shingled")
     nodes = cut(rows.groupBy("_node").agg(F.min("_at").alias("_at")), "nodes")
     each = cut(rows.select("_at", "_size", "_fp", "_bands").join(nodes.select("_at"), "_at", "left_semi"), "each")
-    near = connected_components(verified(in_balls(each, least), rows, k, least), "a", "b")
-    # The rest: bands of more than one component.
-    named = cut(each.join(near, F.col("_at") == F.col("node"), "left").select("_at", "_size", "_fp", "_bands", F.coalesce("component", "_at").alias("part")), "named")
-    placed = named.select(F.explode("_bands").alias("key"), "_at", "_size", "_fp", "part")
-    first = F.min(F.struct("_at", "part")).alias("least")
-    firsts = cut(placed.groupBy("key").agg(F.count("*").alias("_n"), first, F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key", "_n", F.col("least._at").alias("first"), F.col("least.part").alias("home")), "firsts")
-    met = cut(join_hot(placed, firsts.drop("_n"), "key", firsts.select("key", "_n")).where("_at != first"), "met")
-    to_first = cut(met.where("part != home").select("first", F.col("_at").alias("b"), "_size", "_fp").distinct(), "to_first")
+    placed = each.select(F.explode("_bands").alias("key"), "_at", "_size", "_fp")
+    firsts = cut(placed.groupBy("key").agg(F.count("*").alias("_n"), F.min("_at").alias("first")).where("_n > 1"), "firsts")
+    met = cut(join_hot(placed, firsts.drop("_n"), "key", firsts).where("_at != first"), "met")
+    to_first = cut(met.select("first", F.col("_at").alias("b"), "_size", "_fp").distinct(), "to_first")
     heads = each.select(F.col("_at").alias("first"), F.col("_size").alias("size"), F.col("_fp").alias("fp"))
-    pairs = cut(join_hot(to_first, heads, "first").where(likely(least)).select(F.col("first").alias("a"), "b"), "pairs")
-    before = near.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    known = connected_components(before.union(verified(pairs, rows, k, least)), "a", "b")
+    in_bands = join_hot(to_first, heads, "first").where(likely(least)).select(F.col("first").alias("a"), "b")
+    pairs = cut(in_balls(each, least).union(in_bands).distinct(), "pairs")
+    known = connected_components(verified(pairs, rows, k, least), "a", "b")
     # What the first members did not bring together meets in tiles, each set of members once.
     rooted = cut(met.join(known, F.col("_at") == F.col("node"), "left").select("key", "_at", "_size", "_fp", F.coalesce("component", "_at").alias("root")), "rooted")
     same = rooted.groupBy("key").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("_at")).alias("x"), F.sum(F.hash("_at")).alias("y"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
