@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import copies, mixing, packing, quality, secrets
-from strandline.llm.common import cut, table
+from strandline.llm.common import cut, only, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,7 +32,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"), "_at")
     node = rows.groupBy("_node").agg(F.min(order).alias("row"))
     first = node.join(member, "_node").groupBy("component").agg(F.min("row").alias("row"))
-    return rows.join(first.select(F.col("row._at").alias("_at")), "_at", "left_semi").select(*COLUMNS)
+    return only(rows, first.select(F.col("row._at").alias("number"))).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from strandline.scratch import cut, drop
 
-__all__ = ["connected_components", "cut", "drop", "join_hot", "plus", "small_batches", "stars", "table"]
+__all__ = ["connected_components", "cut", "drop", "join_hot", "only", "plus", "small_batches", "stars", "table"]
 
 #: Links that a task holds while it contracts them.
 HELD = 1 << 19
@@ -87,6 +87,18 @@ def join_hot(rows: DataFrame, values: DataFrame, key: str, counts: DataFrame | N
     return warm.unionByName(cold)
 
 
+def only(rows: DataFrame, numbers: DataFrame, at: str = "_at") -> DataFrame:
+    """Those rows whose number (at, a long) is in numbers, a single column of longs; the rest of a row is not shuffled.
+
+    The numbers are broadcast as sets of 64, a bit each: for numbers that stand close
+    together, such as monotonically_increasing_id() gives, a row for 64 of them.
+    """
+    name = numbers.columns[0]
+    sets = numbers.where(F.col(name).isNotNull()).groupBy(F.shiftright(name, 6).alias("_set")).agg(F.expr(f"bit_or(shiftleft(1L, cast(`{name}` & 63 as int)))").alias("_bits"))
+    held = rows.join(F.broadcast(sets), F.shiftright(at, 6) == F.col("_set"))
+    return held.where(F.getbit("_bits", F.col(at).bitwiseAND(F.lit(63)).cast("int")) == 1).select(*rows.columns)
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Smallest node reachable: columns node, component, for nodes with a link.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import CELL, HOT, connected_components, cut, join_hot, plus, small_batches, stars
+from strandline.llm.common import CELL, HOT, connected_components, cut, drop, join_hot, only, plus, small_batches, stars
 from strandline.llm.simhash import SEED, links, majority
 
 WORDS, LEAST = 5, 0.8
@@ -106,16 +106,16 @@ def shingled(docs: DataFrame, k: int = WORDS) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, k: int = WORDS, least: float = LEAST) -> DataFrame:
     """Those of the pairs (a, b) whose texts, by _at, are similar enough.
 
-    pairs is a table without repeats in which b has few partners. The last join is on a,
-    so the text of a is sent once for all of its pairs, or for each cell of them where
-    a has very many; there are fewer than HOT such texts.
+    pairs is a table without repeats in which b has few partners. Texts in no pair are not
+    sent. The last join is on a, so the text of a is sent once for all of its pairs, or
+    for each cell of them where a has very many; there are fewer than HOT such texts.
     """
     counts = pairs.groupBy("a").agg(F.count("*").alias("_n"))
     limit = counts.agg(F.greatest(F.lit(float(CELL)), F.sum("_n") / HOT)).scalar()
     hot = F.broadcast(counts.where(F.col("_n") > limit).select("a", F.ceil(F.col("_n") / limit).cast("int").alias("_cells")))
     cells = F.coalesce("_cells", F.lit(1))
-    right = pairs.join(hot, "a", "left").withColumn("_cell", F.pmod(F.hash("b"), cells)).join(texts.select(F.col("_at").alias("b"), F.col("text").alias("y")), "b")
-    left = counts.select("a").join(hot, "a", "left").join(texts.select(F.col("_at").alias("a"), F.col("text").alias("x")), "a")
+    right = pairs.join(hot, "a", "left").withColumn("_cell", F.pmod(F.hash("b"), cells)).join(only(texts, pairs.select("b")).select(F.col("_at").alias("b"), F.col("text").alias("y")), "b")
+    left = counts.select("a").join(hot, "a", "left").join(only(texts, pairs.select("a")).select(F.col("_at").alias("a"), F.col("text").alias("x")), "a")
     left = left.select("a", F.explode(F.sequence(F.lit(0), cells - 1)).alias("_cell"), "x")
     both = right.join(left, ["a", "_cell"]).select("a", "b", "x", "y")
 
@@ -269,9 +269,11 @@ def near_copies(docs: DataFrame, k: int = WORDS, least: float = LEAST) -> tuple[
     heads = each.select(F.col("_at").alias("first"), F.col("_size").alias("size"), F.col("_fp").alias("fp"))
     in_bands = join_hot(to_first, heads, "first").where(likely(least)).select(F.col("first").alias("a"), "b")
     pairs = cut(in_balls(each, least).union(in_bands).distinct(), "pairs")
+    drop(each)
     known = connected_components(verified(pairs, rows, k, least), "a", "b")
     # What the first members did not bring together meets in tiles, each set of members once.
     rooted = cut(met.join(known, F.col("_at") == F.col("node"), "left").select("key", "_at", "_size", "_fp", F.coalesce("component", "_at").alias("root")), "rooted")
+    drop(met)
     same = rooted.groupBy("key").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("_at")).alias("x"), F.sum(F.hash("_at")).alias("y"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     mixed = cut(same.groupBy("_n", "x", "y").agg(F.min("key").alias("key")).select("key", "_n"), "mixed")
     apart = cut(join_hot(rooted, mixed.select("key"), "key", mixed), "apart")
@@ -279,7 +281,8 @@ def near_copies(docs: DataFrame, k: int = WORDS, least: float = LEAST) -> tuple[
     left = cut(blocks.mapInArrow(_hopeful(least), "block long, _at long"), "hopeful")
     # By number, as what a block costs is not its bytes, by which Spark would merge partitions.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    whole = left.join(rows.select("_at", "text"), "_at").repartition(parts, "block").sortWithinPartitions("block", "_at").select("block", "_at", "text")
+    texts = only(rows.select("_at", "text"), left.select("_at"))
+    whole = left.join(texts, "_at").repartition(parts, "block").sortWithinPartitions("block", "_at").select("block", "_at", "text")
     small_batches(docs.sparkSession, BATCH)
     within = cut(whole.mapInArrow(_meet(k, least), "a long, b long"), "within")
     small_batches(docs.sparkSession)

@@ -69,13 +69,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     per = {r["source"]: r for r in known.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n")).collect()}
     goal = targets({s: r["size"] for s, r in per.items()}, weights, share, cap)
     rates = [(s, k, int(r["size"]), float(goal[s]), goal[s] / r["size"] if r["size"] else 0.0, (zlib.crc32(f"{seed}:{s}".encode()) & 0xFFFF) / 0x10000) for k, (s, r) in enumerate(per.items())]
-    # One row a source; Spark broadcasts it if it is small enough.
+    # One row a source, which the driver has held anyway; Spark, which cannot tell its size, would shuffle the documents.
     sources = spark.createDataFrame(rates, "_mix_source string, _mix_id int, source_size long, target double, _mix_rate double, _mix_offset double")
     limit = max(CELL, sum(r["n"] for r in per.values()) // HOT)
     named = sources.select("_mix_source", "_mix_id")
     split = known.where(F.col("n") > limit).join(named, known["source"].eqNullSafe(named["_mix_source"])).select("_mix_id", F.col("size").alias("_mix_size"), F.ceil(F.col("n") / limit).cast("int").alias("_mix_salts"))
     cell = ["_mix_id", "_mix_size", "_mix_salt"]
-    placed = docs.join(sources, docs["source"].eqNullSafe(sources["_mix_source"])).withColumn("_mix_size", F.coalesce("size", F.lit(0)))
+    placed = docs.join(F.broadcast(sources), docs["source"].eqNullSafe(sources["_mix_source"])).withColumn("_mix_size", F.coalesce("size", F.lit(0)))
     placed = placed.join(F.broadcast(split), ["_mix_id", "_mix_size"], "left").withColumn("_mix_salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("_mix_salts", F.lit(1))))
     before = Window.partitionBy("_mix_id").orderBy("_mix_size", "_mix_salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = placed.groupBy(*cell).count().select(*cell, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_mix_base"))
