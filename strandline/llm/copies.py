@@ -115,7 +115,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int = WORDS, least: float =
     hot = F.broadcast(counts.where(F.col("_n") > limit).select("a", F.ceil(F.col("_n") / limit).cast("int").alias("_cells")))
     cells = F.coalesce("_cells", F.lit(1))
     right = pairs.join(hot, "a", "left").withColumn("_cell", F.pmod(F.hash("b"), cells)).join(only(texts, pairs.select("b")).select(F.col("_at").alias("b"), F.col("text").alias("y")), "b")
-    left = counts.select("a").join(hot, "a", "left").join(only(texts, pairs.select("a")).select(F.col("_at").alias("a"), F.col("text").alias("x")), "a")
+    left = only(texts, pairs.select("a")).select(F.col("_at").alias("a"), F.col("text").alias("x")).join(hot, "a", "left")
     left = left.select("a", F.explode(F.sequence(F.lit(0), cells - 1)).alias("_cell"), "x")
     both = right.join(left, ["a", "_cell"]).select("a", "b", "x", "y")
 
@@ -261,7 +261,7 @@ def near_copies(docs: DataFrame, k: int = WORDS, least: float = LEAST) -> tuple[
     """
     rows = cut(shingled(docs, k).withColumn("_at", F.monotonically_increasing_id()), "shingled")
     nodes = cut(rows.groupBy("_node").agg(F.min("_at").alias("_at")), "nodes")
-    each = cut(rows.select("_at", "_size", "_fp", "_bands").join(nodes.select("_at"), "_at", "left_semi"), "each")
+    each = cut(only(rows.select("_at", "_size", "_fp", "_bands"), nodes.select("_at")), "each")
     placed = each.select(F.explode("_bands").alias("key"), "_at", "_size", "_fp")
     firsts = cut(placed.groupBy("key").agg(F.count("*").alias("_n"), F.min("_at").alias("first")).where("_n > 1"), "firsts")
     met = cut(join_hot(placed, firsts.drop("_n"), "key", firsts).where("_at != first"), "met")
