@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import copies, mixing, packing, quality, secrets
-from strandline.llm.common import cut, only, table
+from strandline.llm.common import cut, drop, only, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -65,7 +65,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs, f"stage{k}")
+            drop(before)
     return docs

@@ -66,6 +66,15 @@ def _contract(batches):
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["x", "y"])
 
 
+def _settle(batches):
+    """All links, no more than a task holds: each node and the smallest of its component."""
+    links = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(2)] for b in batches]
+    a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in links)]) for k in range(2))
+    a, b = stars(a, b)
+    least = np.unique(b)
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, least])), pa.array(np.concatenate([b, least]))], names=["node", "component"])
+
+
 #: Keys that join_hot broadcasts, at most, and rows of a key that make it hot, at least.
 HOT, CELL = 10_000, 256
 
@@ -102,13 +111,16 @@ def only(rows: DataFrame, numbers: DataFrame, at: str = "_at") -> DataFrame:
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Smallest node reachable: columns node, component, for nodes with a link.
 
-    Links (longs, none null) are contracted to forests where they lie, then
-    minimum labels spread with pointer jumping. Each round is a join on the
+    Links (longs, none null) are contracted to forests where they lie. If one task can
+    hold what is left (HELD links), it settles them; rounds would cost the driver dozens
+    of plans. Else minimum labels spread with pointer jumping. Each round is a join on the
     links and a partially aggregated minimum, cut to the shared folder; the
     driver sees only whether a label changed. Hubs of many links, and labels of many
     nodes, are hot keys of these joins and are spread over all tasks.
     """
     near = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).mapInArrow(_contract, "x long, y long").distinct(), "edges")
+    if near.count() <= HELD:
+        return cut(near.coalesce(1).mapInArrow(_settle, "node long, component long"), "labels")
     both = near.union(near.select("y", "x"))
     degree = cut(both.groupBy("y").agg(F.count("*").alias("_n")), "degree")
     labels = cut(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("label")), "labels")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,9 +165,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
             yield pa.RecordBatch.from_arrays([ids, marks.cast(pa.float64()), pa.ListArray.from_arrays(pa.array(first * x.shape[1], pa.int32()), pa.array(x.ravel()))], names=["doc_id", "label", "x"])
 
     found = bags.mapInArrow(run, "doc_id long, label double, x array<double>").toArrow().sort_by([("doc_id", "ascending")])
-    x = [np.asarray(v, float).reshape(-1, N_FEATURES) for v in found.column("x").to_pylist()]
-    first = np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(int)
-    return fit(np.concatenate([np.zeros((0, N_FEATURES)), *x]), first, found.column("label").to_numpy() > 0 if len(x) else np.zeros(0, bool))
+    x = found.column("x").combine_chunks()
+    first = np.concatenate([[0], np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False) // N_FEATURES)]).astype(int)
+    # As they lie in Arrow: a Python number for each would take the driver four times the memory.
+    return fit(x.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES), first, found.column("label").to_numpy() > 0)
 
 
 def score(docs: DataFrame, params: dict, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Folders that go when their application ends.
 _made: set[str] = set()
+#: Tables that cut() wrote: weakly, the listing of files that each plan over one holds, and the path.
+_listed: list[tuple] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -39,23 +41,43 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there.
 
     The files outlive lost executors, and both halves of a plan that uses the
-    result twice see the same rows.
+    result twice see the same rows. Tables that no DataFrame reads any more go first.
     """
     spark = df.sparkSession
+    sweep(spark)
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._strandline_path = path
+    plan = out._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        _listed.append((spark.sparkContext._jvm.java.lang.ref.WeakReference(plan.relation().location()), path))
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete tables of cut() that no plan can read any more, as Spark does with its shuffles.
+
+    All plans over a table share one listing of its files, so once the JVM has collected
+    that, no DataFrame, its cache or a running query needs the files. An RDD made of a
+    DataFrame does not count.
+    """
+    gone = [x for x in _listed if x[0].refersTo(None)]
+    for x in gone:
+        _listed.remove(x)
+        _delete(spark, x[1])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop(df: DataFrame) -> None:
     """Delete what cut() wrote; only once no later plan reads it."""
     path = getattr(df, "_strandline_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
